@@ -136,7 +136,7 @@ def chi2_tail(x: Column, dof: Column) -> Column:
     odd = dof % 2 == 1
     start = F.when(odd, erfc(F.sqrt(h))).otherwise(F.exp(-h))
     first = F.when(odd, 2 * F.sqrt(h / math.pi) * F.exp(-h)).otherwise(h * F.exp(-h))
-    offset = F.when(odd, 0.5).otherwise(0.0)
+    offset = F.when(odd, -0.5).otherwise(0.0)
     steps = F.floor((dof - 1) / 2).cast("int")
     summed = F.aggregate(
         F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),

@@ -15,6 +15,8 @@ def local_session(cores: int | str = 8, app: str = "ledgerlens") -> SparkSession
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Without it every Column call also records its Python call site.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,61 +1,72 @@
 """Ledger views over the parquet test tables (see FIXTURES.md).
 
-Every column is derived row by row from the given tables, so work grows with them.
+Every column is derived row by row from the given tables, so work grows with them. The
+schemas are given, so opening a table reads no file footers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+_CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+_ORDERS = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string"
+)
+
+
+_EVENT_LEDGER = (
+    "event_id as txn_id",
+    "user_id as customer_id",
+    "ts + make_dt_interval(cast((event_id % 3) * 30 as int)) as txn_ts",
+    "event_type as txn_type",
+    """case when event_id % 50 < 21 then 'Mobile App' when event_id % 50 < 31 then 'POS'
+            when event_id % 50 < 39 then 'Web' when event_id % 50 < 46 then 'ATM' else 'USSD' end as channel""",
+    "round(value * 1000) as amount",
+    """case when k < 90 then 'Successful' when k < 95 then 'Failed'
+            when k < 98 then 'Reversed' else 'Pending' end as status""",
+    "case when event_id % 25 = 7 then 'Yes' else 'No' end as international",
+    "case when value >= 100 or (event_id * 7 + k) % 6 = 0 then 'Yes' else 'No' end as risk_flag",
+)
+_ACCOUNTS = (
+    "c_custkey as customer_id",
+    "c_mktsegment as segment",
+    """case when c_custkey % 14 = 3 then 'Dormant' when c_custkey % 58 = 5 then 'Restricted'
+            else 'Active' end as account_status""",
+    """case when c_custkey % 50 < 31 then 'Mobile App' when c_custkey % 50 < 43 then 'Web'
+            else 'USSD' end as preferred_channel""",
+    """case when c_custkey % 9 = 0 then '' when c_custkey % 9 = 3 then '  '
+            when c_custkey % 9 <> 6 then 'Phone' end as device_type""",
+    "case when c_custkey % 11 = 0 then '' when c_custkey % 11 <> 5 then 'Nation ' || c_nationkey end as location",
+)
+_ORDER_LEDGER = (
+    "o_orderkey as txn_id",
+    "o_custkey as customer_id",
+    "o_orderdate as txn_ts",
+    "o_orderpriority as txn_type",
+    "cast(o_totalprice as decimal(18, 2)) as amount",
+    "case o_orderstatus when 'F' then 'Successful' when 'P' then 'Pending' else 'Failed' end as status",
+    "case when o_custkey % 25 = 7 then 'Yes' else 'No' end as international",
+    "case when o_totalprice >= 300000 then 'Yes' else 'No' end as risk_flag",
+)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a ledger of whole-number amounts over three months."""
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    slot = F.col("event_id") % 50
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("txn_id"),
-        F.col("user_id").alias("customer_id"),
-        (F.col("ts") + F.make_dt_interval(((F.col("event_id") % 3) * 30).cast("int"))).alias("txn_ts"),
-        F.col("event_type").alias("txn_type"),
-        F.when(slot < 21, "Mobile App")
-        .when(slot < 31, "POS")
-        .when(slot < 39, "Web")
-        .when(slot < 46, "ATM")
-        .otherwise("USSD")
-        .alias("channel"),
-        F.round(F.col("value") * 1000).alias("amount"),
-        F.when(k < 90, "Successful").when(k < 95, "Failed").when(k < 98, "Reversed").otherwise("Pending").alias("status"),
-        F.when(F.col("event_id") % 25 == 7, "Yes").otherwise("No").alias("international"),
-        F.when((F.col("value") >= 100) | ((F.col("event_id") * 7 + k) % 6 == 0), "Yes").otherwise("No").alias("risk_flag"),
-    )
+    events = _table(spark, sf_dir, "events", _EVENTS)
+    return events.selectExpr("*", "cast(regexp_extract(props, '([0-9]+)', 1) as int) as k").selectExpr(*_EVENT_LEDGER)
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`customer` as the account table; every third device or location text is blank or missing."""
-    key = F.col("c_custkey")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        key.alias("customer_id"),
-        F.col("c_mktsegment").alias("segment"),
-        F.when(key % 14 == 3, "Dormant").when(key % 58 == 5, "Restricted").otherwise("Active").alias("account_status"),
-        F.when(key % 50 < 31, "Mobile App").when(key % 50 < 43, "Web").otherwise("USSD").alias("preferred_channel"),
-        F.when(key % 9 == 0, "").when(key % 9 == 3, "  ").when(key % 9 != 6, "Phone").alias("device_type"),
-        F.when(key % 11 == 0, "").when(key % 11 != 5, F.concat(F.lit("Nation "), "c_nationkey")).alias("location"),
-    )
+    """`customer` as the account table; some device and location texts are blank or missing."""
+    return _table(spark, sf_dir, "customer", _CUSTOMER).selectExpr(*_ACCOUNTS)
 
 
 def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`orders` as a second ledger: cents in decimal, midnights only, many calendar months."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").alias("txn_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("txn_ts"),
-        F.col("o_orderpriority").alias("txn_type"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
-        F.when(F.col("o_orderstatus") == "F", "Successful")
-        .when(F.col("o_orderstatus") == "P", "Pending")
-        .otherwise("Failed")
-        .alias("status"),
-        F.when(F.col("o_custkey") % 25 == 7, "Yes").otherwise("No").alias("international"),
-        F.when(F.col("o_totalprice") >= 300000, "Yes").otherwise("No").alias("risk_flag"),
-    )
+    return _table(spark, sf_dir, "orders", _ORDERS).selectExpr(*_ORDER_LEDGER)
