@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import fixed_values as fv
@@ -10,7 +10,7 @@ from ledgerlens.functions.exprs import band, flagged, minute_index, pct, round_t
 from ledgerlens.operators.rates import share_of_all
 
 
-def _gap_band(minutes):
+def _gap_band(minutes: Column) -> Column:
     return F.when(minutes.isNull(), fv.FIRST_LABEL).otherwise(
         band(minutes, fv.GAP_CUTS, fv.GAP_LABELS, inclusive=True)
     )
@@ -24,15 +24,25 @@ def gap_since_previous(ledger: DataFrame) -> DataFrame:
     what one customer can bring to a window task by the minutes the ledger spans, however
     many transactions they hold.
     """
-    first_flag = F.min_by(flagged().cast("int"), F.struct("txn_ts", "txn_id"))
-    minutes = ledger.groupBy("customer_id", minute_index(F.col("txn_ts")).alias("minute")).agg(
+    narrow = ledger.select(
+        "customer_id",
+        "txn_ts",
+        "txn_id",
+        minute_index(F.col("txn_ts")).alias("minute"),
+        F.coalesce(flagged(), F.lit(False)).cast("bigint").alias("flag"),
+    )
+    minutes = narrow.groupBy("customer_id", "minute").agg(
         row_count().alias("rows"),
-        F.count_if(flagged()).alias("flags"),
-        F.coalesce(first_flag, F.lit(0)).cast("bigint").alias("first_flag"),
+        F.sum("flag").alias("flags"),
+        F.min_by("flag", F.struct("txn_ts", "txn_id")).alias("first_flag"),
     )
     gap = F.col("minute") - F.lag("minute").over(Window.partitionBy("customer_id").orderBy("minute"))
     parts = F.array(
-        F.struct(_gap_band(F.col("gap")).alias("gap_since_previous"), F.lit(1).cast("bigint").alias("n"), F.col("first_flag").alias("f")),
+        F.struct(
+            _gap_band(F.col("gap")).alias("gap_since_previous"),
+            F.lit(1).cast("bigint").alias("n"),
+            F.col("first_flag").alias("f"),
+        ),
         F.struct(
             _gap_band(F.lit(0)).alias("gap_since_previous"),
             (F.col("rows") - 1).alias("n"),

@@ -224,10 +224,11 @@ def log_histogram(ledger: DataFrame, value: str = "amount", bins: int = fv.HISTO
     """Equal-width bins of log10 over the positive amounts; the maximum belongs to the last bin."""
     logs = ledger.filter(F.col(value) > 0).select(F.log10(F.col(value).cast("double")).alias("x"))
     span = logs.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high"))).scalar()
-    low, high = span["low"], span["high"]
+    # A single distinct amount is given half a unit either side, as histogram tools do.
+    margin = F.when(span["low"] == span["high"], 0.5).otherwise(0.0)
+    low, high = span["low"] - margin, span["high"] + margin
     width = (high - low) / bins
-    # A single distinct amount has no width; everything falls into the first bin.
-    slot = F.coalesce(F.least(F.floor(ratio(F.col("x") - low, width)), F.lit(bins - 1)), F.lit(0)) + 1
+    slot = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)) + 1
     counts = logs.groupBy(slot.cast("bigint").alias("bin")).agg(row_count().alias("rows"))
     every_bin = ledger.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin")
     return (

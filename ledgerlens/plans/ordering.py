@@ -41,30 +41,27 @@ def bucket_count(spark: SparkSession) -> int:
     return min(MAX_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _with_bucket(items: DataFrame, key: Column) -> DataFrame:
-    """Add `_bucket`: how many split points lie strictly below the row's key."""
+def _with_bucket(items: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add `_bucket`: how many split points lie strictly below the row's ordering key."""
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     buckets = bucket_count(items.sparkSession)
-    # Hashing the whole row keeps every subquery on the columns of the main plan, so
-    # all of them read the same shuffle output instead of rescanning the input.
+    # Hashing the whole row keeps every subquery on the columns of the main plan, so all
+    # of them read the same shuffle output instead of rescanning the input.
     row_hash = F.xxhash64(*items.columns)
-    distinct_rows = items.agg(F.approx_count_distinct(row_hash)).scalar()
-    one_in = F.greatest(F.lit(1).cast("bigint"), F.floor(distinct_rows / (buckets * SAMPLES_PER_BUCKET)))
+    row_total = items.agg(F.count_if(row_hash != 0)).scalar()
+    one_in = F.greatest(F.lit(1).cast("bigint"), F.floor(row_total / (buckets * SAMPLES_PER_BUCKET)))
     sample = items.filter(F.pmod(row_hash, one_in) == 0).agg(F.sort_array(F.collect_set(key)).alias("keys"))
     stride = F.greatest(F.lit(1), F.floor(F.size("keys") / buckets).cast("int"))
     splits = sample.select(F.filter("keys", lambda _, i: i % stride == stride - 1)).scalar()
 
-    # Binary search: steps of falling powers of two, an index past the end compares as NULL.
-    steps = F.array(*[F.lit(2**bit) for bit in reversed(range((4 * buckets).bit_length()))])
-    position = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(F.col("_splits"), at + step - 1) < F.col("_key"), at + step).otherwise(at),
-    )
-    return (
-        items.withColumns({"_splits": splits, "_key": key})
-        .withColumn("_bucket", F.coalesce(position, F.lit(0)))
-        .drop("_splits", "_key")
-    )
+    # Binary search in steps of falling powers of two; an index past the end reads NULL,
+    # which is not below anything. A projection per step keeps it in generated code.
+    found = items.withColumns({"_splits": splits, "_key": key, "_bucket": F.lit(0)})
+    for bit in reversed(range((4 * buckets).bit_length())):
+        at = F.col("_bucket")
+        beyond = F.get(F.col("_splits"), at + (2**bit - 1)) < F.col("_key")
+        found = found.withColumn("_bucket", F.when(beyond, at + 2**bit).otherwise(at))
+    return found.drop("_splits", "_key")
 
 
 def running_totals(
@@ -85,24 +82,21 @@ def running_totals(
             *[F.sum(m).over(group).alias(f"{m}_all") for m in measures],
         )
 
-    group = F.struct(*by) if by else F.lit(0)
-    bucketed = _with_bucket(items, F.struct(*order)).withColumn("_group", group)
+    # A missing group is a group of its own: spelled out, because a join drops NULL keys.
+    named = {f"_group{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for i, c in enumerate(by)}
+    bucketed = _with_bucket(items, order).withColumns(named) if by else _with_bucket(items, order)
+    slot = ["_bucket", *named]
 
-    slices = bucketed.groupBy("_group", "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    whole = Window.partitionBy("_group")
+    slices = bucketed.groupBy(*slot).agg(*[F.sum(m).alias(m) for m in measures])
+    whole = Window.partitionBy(*named)
     offsets = slices.select(
-        "_group",
-        "_bucket",
+        *slot,
         *[(F.sum(m).over(whole.orderBy("_bucket")) - F.col(m)).alias(f"{m}_before") for m in measures],
         *[F.sum(m).over(whole).alias(f"{m}_all") for m in measures],
     )
-    inside = (
-        Window.partitionBy("_group", "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    inside = Window.partitionBy(*slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = bucketed.select("*", *[F.sum(m).over(inside).alias(f"{m}_inside") for m in measures])
-    return local.join(offsets, ["_group", "_bucket"]).select(
+    return local.join(offsets, slot).select(
         *items.columns,
         *[(F.col(f"{m}_before") + F.col(f"{m}_inside")).alias(f"{m}_to") for m in measures],
         *[F.col(f"{m}_all") for m in measures],
@@ -191,7 +185,7 @@ def with_tiles(
 
     entries = F.array(*[F.struct(F.lit(i).alias("metric"), keys[name].alias("key")) for i, name in enumerate(names)])
     items = df.select(F.inline(entries)).select("metric", "key.at", "key.id")
-    bucketed = _with_bucket(items, F.struct("at", "id"))
+    bucketed = _with_bucket(items, ["at", "id"])
 
     slices = bucketed.groupBy("metric", "_bucket").agg(F.count(F.lit(1)).alias("rows"))
     whole = Window.partitionBy("metric")

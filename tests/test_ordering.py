@@ -128,6 +128,6 @@ def test_size_check(spark, monkeypatch):
 def test_slices_are_even_despite_ties(skewed):
     """No slice holds much more than its share although a third of the rows tie."""
     buckets = ordering.bucket_count(skewed.sparkSession)
-    sizes = ordering._with_bucket(skewed.select("v", "id"), F.struct("v", "id")).groupBy("_bucket").count().collect()
+    sizes = ordering._with_bucket(skewed.select("v", "id"), ["v", "id"]).groupBy("_bucket").count().collect()
     assert len(sizes) >= buckets
     assert max(r["count"] for r in sizes) <= 4 * 3000 / buckets
