@@ -127,9 +127,10 @@ def rfm_quintiles(
         edges = edges.withColumn("edges", F.when(distinct, F.col("edges")).otherwise(F.raise_error(message)))
     # Three rows, one per metric.
     by_metric = edges.agg(F.map_from_entries(F.collect_list(F.struct("metric", "edges")))).scalar()
+    model = model.withColumn("_edges", by_metric)
 
     def score(metric: str) -> Column:
-        inner = by_metric[metric]
+        inner = F.col("_edges")[metric]
         passed = F.lit(1)
         for i in range(1, len(_FIFTHS) + 1):
             passed = passed + (F.col(metric).cast("double") > inner[i]).cast("int")
@@ -141,7 +142,7 @@ def rfm_quintiles(
             "f_score": score("txn_count"),
             "m_score": score("value_success"),
         }
-    )
+    ).drop("_edges")
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     champion, loyal, at_risk, regular = fv.QUINTILE_SEGMENTS
     segment = (

@@ -62,10 +62,10 @@ def gap_since_previous(ledger: DataFrame) -> DataFrame:
 def pending_age(ledger: DataFrame) -> DataFrame:
     """Pending transactions and their value by age against the newest timestamp in the ledger."""
     newest = ledger.agg(F.to_date(F.max("txn_ts"))).scalar()
-    days = F.datediff(newest, F.to_date("txn_ts"))
     per_band = (
         ledger.filter(F.col("status") == fv.PENDING)
-        .groupBy(band(days, fv.AGE_CUTS, fv.AGE_LABELS, inclusive=True).alias("pending_age"))
+        .withColumn("days", F.datediff(newest, F.to_date("txn_ts")))
+        .groupBy(band(F.col("days"), fv.AGE_CUTS, fv.AGE_LABELS, inclusive=True).alias("pending_age"))
         .agg(row_count().alias("pending_txns"), F.sum("amount").alias("value"))
     )
     return per_band.select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import binomial_tail, chi2_tail, failed, pct, ratio, round_to, row_count
 from ledgerlens.operators.rfm import with_recency
-from ledgerlens.plans.ordering import needs_spreading, percentile, value_counts
+from ledgerlens.plans.ordering import distinct_values, needs_spreading, percentile, value_counts
 
 
 def two_proportion_ztest(
@@ -190,7 +190,8 @@ def _iqr_bound(q1: Column, q3: Column) -> Column:
 def amount_outliers(ledger: DataFrame, value: str = "amount", *, spread: bool | None = None) -> DataFrame:
     """Mean, median, bias-adjusted skewness, upper IQR bound, rows above it, maximum."""
     values = value_counts(ledger, value, spread=needs_spreading(ledger, spread))
-    bound = values.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar()
+    values = values.withColumn("bound", values.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar())
+    bound = F.col("bound")
     rows = F.col("rows").cast("double")
     mean = ratio(F.col("total_all"), F.col("rows_all"))
     away = F.col("value").cast("double") - mean
@@ -215,28 +216,34 @@ def customer_value_outliers(
     """Customers strictly above the upper IQR bound of successful value."""
     values = value_counts(model, value, spread=needs_spreading(model, spread))
     bound = values.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar()
-    return model.select(
-        "customer_id", round_to(F.col(value), 2).alias(value), round_to(bound, 2).alias("cutoff")
-    ).filter(F.col(value) > bound)
+    return (
+        model.select("customer_id", value, bound.alias("cutoff"))
+        .filter(F.col(value) > F.col("cutoff"))
+        .select("customer_id", round_to(F.col(value), 2).alias(value), round_to(F.col("cutoff"), 2).alias("cutoff"))
+    )
 
 
 def log_histogram(ledger: DataFrame, value: str = "amount", bins: int = fv.HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins of log10 over the positive amounts; the maximum belongs to the last bin."""
     logs = ledger.filter(F.col(value) > 0).select(F.log10(F.col(value).cast("double")).alias("x"))
     span = logs.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high"))).scalar()
-    # A single distinct amount is given half a unit either side, as histogram tools do.
-    margin = F.when(span["low"] == span["high"], 0.5).otherwise(0.0)
-    low, high = span["low"] - margin, span["high"] + margin
-    width = (high - low) / bins
-    slot = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)) + 1
-    counts = logs.groupBy(slot.cast("bigint").alias("bin")).agg(row_count().alias("rows"))
+
+    def with_edges(df: DataFrame) -> DataFrame:
+        # A single distinct amount is given half a unit either side, as histogram tools do.
+        spanned = df.withColumn("span", span)
+        margin = F.when(F.col("span.low") == F.col("span.high"), 0.5).otherwise(0.0)
+        low, high = F.col("span.low") - margin, F.col("span.high") + margin
+        return spanned.withColumns({"low": low, "width": (high - low) / bins}).drop("span")
+
+    slot = F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.lit(bins - 1)) + 1
+    counts = with_edges(logs).groupBy(slot.cast("bigint").alias("bin")).agg(row_count().alias("rows"))
     every_bin = ledger.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin")
     return (
-        every_bin.join(counts, "bin", "left")
+        with_edges(every_bin.join(counts, "bin", "left"))
         .select(
             "bin",
-            round_to(low + (F.col("bin") - 1) * width, 6).alias("log10_from"),
-            round_to(low + F.col("bin") * width, 6).alias("log10_to"),
+            round_to(F.col("low") + (F.col("bin") - 1) * F.col("width"), 6).alias("log10_from"),
+            round_to(F.col("low") + F.col("bin") * F.col("width"), 6).alias("log10_to"),
             F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
         )
         .orderBy("bin")
@@ -247,14 +254,16 @@ def box_stats(
     ledger: DataFrame, by: str = "txn_type", value: str = "amount", *, spread: bool | None = None
 ) -> DataFrame:
     """Quartiles per type and the outermost values within 1.5 IQR of the box, by median."""
-    spread = needs_spreading(ledger, spread)
-    values = value_counts(ledger.filter(F.col(by).isNotNull()), value, [by], spread=spread)
+    typed = ledger.filter(F.col(by).isNotNull())
+    values = value_counts(typed, value, [by], spread=needs_spreading(ledger, spread))
     boxes = values.groupBy(by).agg(
         percentile(0.25).alias("q1"), percentile(0.5).alias("median"), percentile(0.75).alias("q3")
     )
     x, reach = F.col("value").cast("double"), fv.WHISKER_IQRS * (F.col("q3") - F.col("q1"))
+    # The join sees distinct values, not rows; adaptive execution broadcasts the boxes once
+    # their size is known and otherwise splits a type that fills too much of a partition.
     return (
-        values.select(by, "value")
+        distinct_values(typed, value, [by])
         .join(boxes, by)
         .groupBy(by, "q1", "median", "q3")
         .agg(

@@ -103,20 +103,26 @@ def running_totals(
     )
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), *, spread: bool) -> DataFrame:
-    """Every distinct non-NULL value per group with `rows`, `rows_to`, `rows_all` (and `total*`).
+def distinct_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Each non-NULL value per group once, as `value`, with its `rows` and `total`.
 
-    Equal values are combined before the shuffle, so the input is scanned once and a hot
-    value costs one row per map task. Exact percentiles and moments read off the result.
+    Equal values are combined before the shuffle: a hot value costs one row per map task.
     """
-    counts = (
+    return (
         df.select(*by, F.col(value).alias("value"))
         .filter(F.col("value").isNotNull())
         .groupBy(*by, "value")
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("total", F.col("value") * F.col("rows"))
     )
-    return running_totals(counts, ["value"], ["rows", "total"], by, spread=spread)
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), *, spread: bool) -> DataFrame:
+    """`distinct_values` with running and group totals (`rows_to`, `rows_all`, `total_all`).
+
+    The input is scanned once; exact percentiles and moments read off the result.
+    """
+    return running_totals(distinct_values(df, value, by), ["value"], ["rows", "total"], by, spread=spread)
 
 
 def percentile(q: float) -> Column:
@@ -212,8 +218,10 @@ def with_tiles(
         number = F.lit(1)
         for cut in range(cut_count):
             # No row at this rank means the rank is 0: every row lies after it.
-            after = keys[names[metric]] > F.try_element_at(cuts, F.lit(metric * cut_count + cut))
+            after = keys[names[metric]] > F.try_element_at("_cuts", F.lit(metric * cut_count + cut))
             number = number + F.coalesce(after, F.lit(True)).cast("int")
         return number
 
-    return df.withColumns({name: tile(i) for i, name in enumerate(names)})
+    # Held in a column, so the lookup is planned once however many cuts refer to it.
+    with_cuts = df.withColumn("_cuts", cuts)
+    return with_cuts.withColumns({name: tile(i) for i, name in enumerate(names)}).drop("_cuts")
