@@ -250,6 +250,9 @@ def log_histogram(ledger: DataFrame, value: str = "amount", bins: int = fv.HISTO
     )
 
 
+_BOX_SLOTS = 64
+
+
 def box_stats(
     ledger: DataFrame, by: str = "txn_type", value: str = "amount", *, spread: bool | None = None
 ) -> DataFrame:
@@ -260,11 +263,15 @@ def box_stats(
         percentile(0.25).alias("q1"), percentile(0.5).alias("median"), percentile(0.75).alias("q3")
     )
     x, reach = F.col("value").cast("double"), fv.WHISKER_IQRS * (F.col("q3") - F.col("q1"))
-    # The join sees distinct values, not rows; adaptive execution broadcasts the boxes once
-    # their size is known and otherwise splits a type that fills too much of a partition.
+    # The join sees distinct values, not rows, and a type is shared out over several slots
+    # so that one holding most of the values does not end up in one task.
+    slots = F.sequence(F.lit(0), F.lit(_BOX_SLOTS - 1))
+    # Using the row counts, if only to find them positive, keeps this the aggregation the
+    # quartiles come from, so both read one shuffle output.
+    counted = distinct_values(typed, value, [by]).filter(F.col("rows") > 0)
+    values_in_slots = counted.withColumn("slot", F.pmod(F.xxhash64("value"), F.lit(_BOX_SLOTS)).cast("int"))
     return (
-        distinct_values(typed, value, [by])
-        .join(boxes, by)
+        values_in_slots.join(boxes.withColumn("slot", F.explode(slots)), [by, "slot"])
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.min(F.when(x >= F.col("q1") - reach, x)).alias("whisker_low"),

@@ -212,13 +212,15 @@ def with_tiles(
         .filter(F.col("n") == F.col("nth"))
     )
     slot = F.col("metric") * cut_count + F.col("cut")
-    cuts = found.agg(F.map_from_entries(F.collect_list(F.struct(slot, F.struct("at", "id"))))).scalar()
+    by_slot = found.agg(F.map_from_entries(F.collect_list(F.struct(slot, F.struct("at", "id")))).alias("by_slot"))
+    every_slot = F.sequence(F.lit(0), F.lit(len(names) * cut_count - 1))
+    cuts = by_slot.select(F.transform(every_slot, lambda i: F.try_element_at("by_slot", i))).scalar()
 
     def tile(metric: int) -> Column:
         number = F.lit(1)
         for cut in range(cut_count):
             # No row at this rank means the rank is 0: every row lies after it.
-            after = keys[names[metric]] > F.try_element_at("_cuts", F.lit(metric * cut_count + cut))
+            after = keys[names[metric]] > F.get("_cuts", F.lit(metric * cut_count + cut))
             number = number + F.coalesce(after, F.lit(True)).cast("int")
         return number
 
