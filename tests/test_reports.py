@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerlens import reports
 from ledgerlens.operators import concentration, customers, kpi, profiling, rates, rfm, rules, sequence, statistics
@@ -16,11 +15,10 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-@pytest.mark.parametrize("name", list(reports.REPORTS))
-@pytest.mark.parametrize("spread", [None, True])
+@pytest.mark.parametrize(
+    ("name", "spread"), [(n, None) for n in reports.REPORTS] + [(n, True) for n in reports.RANKED]
+)
 def test_empty_ledger(name, spread, ledger_of, accounts_of):
-    if spread and name not in reports.RANKED:
-        pytest.skip("has one plan only")
     filled, one_account = ledger_of({}), accounts_of(ACCOUNT)
     expected = reports.run(name, filled, one_account).columns
     got = reports.run(name, ledger_of({}).limit(0), one_account.limit(0), spread=spread)
