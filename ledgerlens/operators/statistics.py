@@ -266,10 +266,9 @@ def box_stats(
     # The join sees distinct values, not rows, and a type is shared out over several slots
     # so that one holding most of the values does not end up in one task.
     slots = F.sequence(F.lit(0), F.lit(_BOX_SLOTS - 1))
-    # Using the row counts, if only to find them positive, keeps this the aggregation the
-    # quartiles come from, so both read one shuffle output.
-    counted = distinct_values(typed, value, [by]).filter(F.col("rows") > 0)
-    values_in_slots = counted.withColumn("slot", F.pmod(F.xxhash64("value"), F.lit(_BOX_SLOTS)).cast("int"))
+    values_in_slots = distinct_values(typed, value, [by]).withColumn(
+        "slot", F.pmod(F.xxhash64("value"), F.lit(_BOX_SLOTS)).cast("int")
+    )
     return (
         values_in_slots.join(boxes.withColumn("slot", F.explode(slots)), [by, "slot"])
         .groupBy(by, "q1", "median", "q3")
