@@ -2,24 +2,96 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import simhash
-from ledgerlens.llm.support import ready, table
+import corpus_pipeline
+from ledgerlens.llm import (
+    decontamination,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    packing,
+    pii,
+    sharding,
+    simhash,
+    token_orc,
+    warc,
+)
+from ledgerlens.llm.support import ready, settle, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", sharding.fill_table(sharding.shard_names()))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(ready(spark), sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    digest = F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.spans_text(F.col("spans")).alias("spans"))
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.records(table(spark, sf_dir, "pages"))
+    files = warc.file_count(archive.count())
+    return warc.audit(warc.manifest(archive, files), warc.manifest(warc.damaged(archive), files))
+
+
+def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(ready(spark))}/llm/orc-{uuid.uuid4().hex}"
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, token_orc.tokenizer_path(), end_id=2)
+    return token_orc.with_crc32(token_orc.read_tokens(spark, path))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(ready(spark), sf_dir, "documents"), token_orc.tokenizer_path())
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.matches(docs, benchmark)
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(table(ready(spark), sf_dir, "documents"))
+    found = simhash.simhash_components(table(ready(spark), sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(ready(spark), sf_dir, "embeddings"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op8_simhash_near_duplicates,)
-}
+    for f in (
+        op1_license_scan,
+        op2_sharding,
+        op3_pii,
+        op4_warc_fixity,
+        op5_token_orc,
+        op6_packing,
+        op7_decontamination,
+        op8_simhash_near_duplicates,
+        op9_embedding_near_duplicates,
+        op10_language_id,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 
 def queries() -> dict[str, Query]:
@@ -27,4 +99,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sql = {
+        "op1_license_scan": license_scan.oracle(),
+        "op2_sharding": sharding.oracle(),
+        "op4_warc_fixity": warc.oracle(),
+    }
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

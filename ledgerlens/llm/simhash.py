@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.support import components, settle
@@ -61,14 +61,19 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, one row per row of docs."""
+    """doc_id, version (a hash of the text) and fp, the fingerprint as a signed long; a row per row of docs."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": prints})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "version": batch["version"], "fp": prints})
 
-    return docs.select("doc_id", "text").mapInPandas(hashed, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", _version("text").alias("version"))
+    return rows.mapInPandas(hashed, "doc_id long, version long, fp long")
+
+
+def _version(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def gray_rank(fp):
@@ -220,7 +225,7 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GR
 def simhash_components(
     docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, one row per row of docs."""
+    """doc_id, version, fingerprint (16 hex digits) and component_id, one row per row of docs."""
     rows = settle(fingerprints(docs, words), "prints")
     distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(near_links(distinct.select("fp"), max_bits, group_rows))
@@ -229,4 +234,27 @@ def simhash_components(
     )
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     out = rows.join(placed.join(names, "root").select("fp", "component_id"), "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return out.select("doc_id", "version", shown, "component_id")
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """One document of each component, the one that names it; columns unchanged. Of different texts under
+    that doc_id the one with the least hash stays, of equal rows one. In a component without any doc_id one
+    row of each different text stays."""
+    found = settle(simhash_components(docs, **settings).where("doc_id <=> component_id"), "named")
+    least = F.min("version").over(Window.partitionBy("doc_id"))
+    stay = found.where("doc_id is not null").groupBy("doc_id", "version").count()
+    stay = stay.withColumn("least", least).where("version = least").select("doc_id", "version", "count")
+    loose = found.where("doc_id is null").groupBy("doc_id", "version").count()
+    stay = settle(stay.union(loose), "stay")
+
+    def rows(keys: DataFrame) -> DataFrame:
+        same = F.expr("d.doc_id <=> k.doc_id and xxhash64(coalesce(d.text, '')) = k.version")
+        return docs.alias("d").join(keys.alias("k"), same, "left_semi")
+
+    out = rows(stay.where("count = 1"))
+    repeated = stay.where("count > 1")
+    if repeated.head(1):
+        out = out.union(rows(repeated).withColumn("_version", _version("text")).dropDuplicates(["doc_id", "_version"]).drop("_version"))
+    return out

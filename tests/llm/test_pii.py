@@ -1,0 +1,91 @@
+import random
+import re
+
+from ledgerlens.llm import pii
+
+PLAIN = [
+    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in enumerate(PLAIN):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = (
+                kind == 0
+                or (kind == 1 and all(int(p) <= 255 for p in m[0].split(".")))
+                or (kind == 2 and 12 <= len(digits) <= 19 and pii.luhn(digits))
+                or (kind == 3 and 9 <= len(digits) <= 15)
+            )
+            if good:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_plain_patterns():
+    rng = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(rng.choice("a.@+0124 56-()x%7é") for _ in range(rng.randint(0, 150)))
+        assert pii.base_spans(text) == plain_spans(text)
+    card = "4111 1111 1111 1111"
+    assert pii.base_spans(f"é {card}, a@b@c.de +1 (017) 555-7713 10.0.0.256 10.0.0.255") == plain_spans(
+        f"é {card}, a@b@c.de +1 (017) 555-7713 10.0.0.256 10.0.0.255"
+    )
+
+
+def seeded(docs_of, extra):
+    mails = [(i, f"some words here, please write to user{i}@example.com today") for i in range(8)]
+    return docs_of(mails + extra)
+
+
+def test_context_discovers_unseen_identifiers(docs_of):
+    docs = seeded(docs_of, [(100, "now please write to jane42(at)example for more"), (101, "in the year 12345 nothing was sent")])
+    found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in found[100].spans] == [(0, 20, 38)]
+    assert found[100].base == [] and found[101].spans == []
+    assert all(found[i].base == found[i].spans and len(found[i].base) == 1 for i in range(8))
+
+
+def test_mixed_contexts_discover_nothing(docs_of):
+    kinds = ["a{0}@example.com", "10.0.0.{0}", "+1 (017) 555-77{0}"]
+    docs = docs_of([(i, "words of " + kinds[i % 3].format(10 + i)) for i in range(30)] + [(99, "words of x12345")])
+    assert pii.find_spans(docs).where("doc_id = 99").first().spans == []
+
+
+def test_redact_keeps_rows_and_columns(docs_of):
+    docs = docs_of([(1, "é mail a@b.de, then 10.0.0.1!"), (1, "no data"), (2, None), (None, "b@c.de"), (3, "b@c.de"), (3, "b@c.de")])
+    docs = docs.selectExpr("*", "1 as spans", "2 as version", "3 as base")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    texts = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert texts == sorted(
+        [(1, "é mail [EMAIL], then [IP]!"), (1, "no data"), (2, None), (None, "[EMAIL]"), (3, "[EMAIL]"), (3, "[EMAIL]")], key=str
+    )
+
+
+def test_odd_documents(odd_docs, docs_of):
+    found = pii.find_spans(odd_docs)
+    assert found.count() == odd_docs.count()
+    assert found.where("doc_id in (1, 2, 3, 5, 6) and size(spans) > 0").count() == 0
+    assert pii.find_spans(docs_of([])).count() == 0 and pii.redact(docs_of([])).count() == 0
+
+
+def test_query_digest(spark):
+    from hashlib import sha256
+
+    from ledgerlens.llm import registry
+
+    rows = registry.op3_pii(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain_spans(texts[r.doc_id])
+        shown = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == sha256(shown.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in base) for n in range(4)]
+        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
