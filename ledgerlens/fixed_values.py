@@ -83,3 +83,6 @@ FAILURE_THRESHOLD = 3
 HISTOGRAM_BINS = 60
 PREVIEW_ROWS = 5
 MILLION = 1_000_000
+
+# Quartile scores from this one on count as high in the quartile segments.
+HIGH_QUARTILE = 3

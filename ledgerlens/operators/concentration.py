@@ -9,11 +9,12 @@ from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import band, flagged, pct, ratio, round_to, row_count, successful
 from ledgerlens.operators.rates import share_of_all
 from ledgerlens.plans.ordering import (
+    counted_tiles,
     fraction_ranks,
-    needs_spreading,
     ntile_ranks,
     quantile_ranks,
     running_totals,
+    unique_rows,
     with_tiles,
 )
 
@@ -27,13 +28,10 @@ def _highest_first(value: str = "value") -> Column:
     return -F.col(value)
 
 
-def value_deciles(ledger: DataFrame, tiles: int = 10, *, spread: bool | None = None) -> DataFrame:
+def value_deciles(ledger: DataFrame, tiles: int = 10) -> DataFrame:
     """Successful value by customer tenth, highest first; sizes differ by one at most."""
-    spread = needs_spreading(ledger, spread)
     per_customer = customer_value(ledger, successful())
-    ranked = with_tiles(
-        per_customer, {"decile": _highest_first()}, "customer_id", ntile_ranks(tiles), spread=spread
-    )
+    ranked = with_tiles(per_customer, {"decile": _highest_first()}, "customer_id", ntile_ranks(tiles))
     per_decile = ranked.groupBy("decile").agg(row_count().alias("customers"), F.sum("value").alias("value"))
     return per_decile.select(
         "decile",
@@ -43,33 +41,32 @@ def value_deciles(ledger: DataFrame, tiles: int = 10, *, spread: bool | None = N
     ).orderBy("decile")
 
 
-def _quantile_deciles(ledger: DataFrame, tiles: int, spread: bool | None) -> DataFrame:
+def _framed_value(ledger: DataFrame) -> DataFrame:
+    """Value per customer as data frames sum it: rows without a customer drop out, missing amounts add nothing."""
     per_customer = customer_value(ledger.filter(F.col("customer_id").isNotNull()))
-    return with_tiles(
-        per_customer,
-        {"decile": _highest_first()},
-        "customer_id",
-        quantile_ranks(tiles),
-        spread=needs_spreading(ledger, spread),
-    )
+    return per_customer.withColumn("value", F.coalesce("value", F.lit(0)))
+
 
+def _quantile_deciles(ledger: DataFrame, tiles: int) -> DataFrame:
+    return with_tiles(_framed_value(ledger), {"decile": _highest_first()}, "customer_id", quantile_ranks(tiles))
 
-def value_decile_share_all(ledger: DataFrame, tiles: int = 10, *, spread: bool | None = None) -> DataFrame:
+
+def value_decile_share_all(ledger: DataFrame, tiles: int = 10) -> DataFrame:
     """Share of value over all statuses by customer tenth, cut at quantile edges of the rank.
 
     The cumulative column holds the top-10 % and top-30 % figures; the bottom half is what
     the fifth row leaves to 100.
     """
-    ranked = _quantile_deciles(ledger, tiles, spread)
+    ranked = _quantile_deciles(ledger, tiles)
     per_decile = ranked.groupBy("decile").agg(row_count().alias("customers"), F.sum("value").alias("value"))
     return per_decile.select(
         "decile", "customers", share_of_all(F.col("value")).alias("share_pct")
     ).orderBy("decile")
 
 
-def concentration_summary(ledger: DataFrame, *, spread: bool | None = None) -> DataFrame:
+def concentration_summary(ledger: DataFrame) -> DataFrame:
     """Share of all-status value held by the top 10 %, the top 30 % and the bottom 50 % of customers."""
-    ranked = _quantile_deciles(ledger, 10, spread)
+    ranked = _quantile_deciles(ledger, 10)
 
     def share(condition: Column, name: str) -> Column:
         return pct(F.sum(F.when(condition, F.col("value")).otherwise(0)), F.sum("value"), 1).alias(name)
@@ -80,13 +77,12 @@ def concentration_summary(ledger: DataFrame, *, spread: bool | None = None) -> D
     )
 
 
-def cumulative_value_curve(ledger: DataFrame, *, spread: bool | None = None) -> DataFrame:
+def cumulative_value_curve(ledger: DataFrame) -> DataFrame:
     """One point per customer, highest value first: % of customers against cumulative % of value."""
-    per_customer = customer_value(ledger.filter(F.col("customer_id").isNotNull())).select(
+    per_customer = _framed_value(ledger).select(
         "customer_id", "value", _highest_first().alias("order_value"), F.lit(1).cast("bigint").alias("customers")
     )
-    spread = needs_spreading(ledger, spread)
-    ranked = running_totals(per_customer, ["order_value", "customer_id"], ["customers", "value"], spread=spread)
+    ranked = running_totals(per_customer, ["order_value", "customer_id"], ["customers", "value"])
     return ranked.select(
         F.col("customers_to").alias("customer_rank"),
         "customer_id",
@@ -95,22 +91,22 @@ def cumulative_value_curve(ledger: DataFrame, *, spread: bool | None = None) ->
     )
 
 
-def value_tiers(ledger: DataFrame, *, spread: bool | None = None) -> DataFrame:
+def value_tiers(ledger: DataFrame) -> DataFrame:
     """Successful transactions by size tier in hundredths of their count, with review rate."""
 
     def tier_ranks(n: Column) -> list[Column]:
         hundredths = ntile_ranks(100)(n)
         return [hundredths[cut - 1] for cut in fv.TIER_HUNDREDTHS]
 
-    spread = needs_spreading(ledger, spread)
     paid = ledger.filter(successful()).select("txn_id", "amount", "risk_flag")
-    ranked = with_tiles(paid, {"tier_no": _highest_first("amount")}, "txn_id", tier_ranks, spread=spread)
-    tier = band(F.col("tier_no"), (1, 2, 3), fv.TIER_LABELS, inclusive=True)
+    flag = F.coalesce(flagged(), F.lit(False)).cast("bigint")
+    ranked = counted_tiles(paid, "amount", "txn_id", {"flags": flag}, tier_ranks)
+    tier = band(F.col("tile"), (1, 2, 3), fv.TIER_LABELS, inclusive=True)
     per_tier = ranked.groupBy(tier.alias("tier")).agg(
-        row_count().alias("txn_count"),
-        F.sum("amount").alias("value"),
-        F.min("amount").alias("least"),
-        F.count_if(flagged()).alias("flags"),
+        F.sum("rows").alias("txn_count"),
+        F.sum("total").alias("value"),
+        F.min("value").alias("least"),
+        F.sum("flags").alias("flags"),
     )
     return per_tier.select(
         "tier",
@@ -122,17 +118,10 @@ def value_tiers(ledger: DataFrame, *, spread: bool | None = None) -> DataFrame:
     ).orderBy("tier")
 
 
-def pareto_share(
-    model: DataFrame, top: float = 0.10, half: float = 0.50, *, spread: bool | None = None
-) -> DataFrame:
+def pareto_share(model: DataFrame, top: float = 0.10, half: float = 0.50) -> DataFrame:
     """Share of successful value from the top tenth and from the lower half of customers."""
-    ranked = with_tiles(
-        model,
-        {"part": _highest_first("value_success")},
-        "customer_id",
-        fraction_ranks(top, half),
-        spread=needs_spreading(model, spread),
-    )
+    model, copy = unique_rows(model.select("customer_id", "value_success"), "customer_id")
+    ranked = with_tiles(model, {"part": _highest_first("value_success")}, copy, fraction_ranks(top, half))
     value = F.col("value_success")
 
     def share(condition: Column) -> Column:

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import flagged, is_international, pct, round_to, row_count, successful
-from ledgerlens.plans.ordering import needs_spreading, percentile, value_counts
+from ledgerlens.plans.ordering import percentile, value_counts
 
 
-def kpi_summary(ledger: DataFrame, *, spread: bool | None = None) -> DataFrame:
+def kpi_summary(ledger: DataFrame) -> DataFrame:
     """One row of headline figures.
 
     Counting per customer first gives the distinct customers as a plain count and keeps the
     pass to one aggregation; the exact median comes from its own distinct-value counts.
     """
-    values = value_counts(ledger.filter(successful()), "amount", spread=needs_spreading(ledger, spread))
+    values = value_counts(ledger.filter(successful()), "amount")
     median = values.agg(percentile(0.5)).scalar()
     per_customer = ledger.groupBy("customer_id").agg(
         row_count().alias("rows"),
@@ -66,3 +66,24 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance:
         "right_value",
         (present & F.coalesce(close, neither)).alias("matches"),
     )
+
+
+def kpi_parts(ledger: DataFrame) -> DataFrame:
+    """The KPI row's totals in full precision: rows, successful rows and successful value."""
+    paid = successful()
+    return ledger.agg(
+        row_count().cast("double").alias("total_transactions"),
+        F.count_if(paid).cast("double").alias("successful_transactions"),
+        F.sum(F.when(paid, F.col("amount"))).cast("double").alias("successful_value"),
+    ).select(F.lit("all").alias("scope"), "*")
+
+
+def kpi_parts_by_status_and_type(ledger: DataFrame) -> DataFrame:
+    """The same totals added up from the status shares and the values by type."""
+    paid = successful()
+    by_pair = ledger.groupBy("status", "txn_type").agg(row_count().alias("rows"), F.sum("amount").alias("value"))
+    return by_pair.agg(
+        F.sum("rows").cast("double").alias("total_transactions"),
+        F.sum(F.when(paid, F.col("rows"))).cast("double").alias("successful_transactions"),
+        F.sum(F.when(paid, F.col("value"))).cast("double").alias("successful_value"),
+    ).select(F.lit("all").alias("scope"), "*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import ratio, round_to, row_count
-from ledgerlens.plans.ordering import needs_spreading, percentile, value_counts
+from ledgerlens.plans.ordering import percentile, value_counts
 
 
 def relationship_check(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -70,15 +70,13 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def profile_describe(
-    df: DataFrame, columns: Sequence[str] | None = None, *, spread: bool | None = None
-) -> DataFrame:
+def profile_describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of every numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns]
     )
-    values = value_counts(df.select(F.inline(pairs)), "x", ["column_name"], spread=needs_spreading(df, spread))
+    values = value_counts(df.select(F.inline(pairs)), "x", ["column_name"])
     rows = F.col("rows").cast("double")
     away = F.col("value") - ratio(F.col("total_all"), F.col("rows_all"))
     n = F.sum(rows)

@@ -24,7 +24,7 @@ from ledgerlens.functions.exprs import (
     row_count,
     successful,
 )
-from ledgerlens.plans.ordering import needs_spreading, percentile, value_counts
+from ledgerlens.plans.ordering import percentile, value_counts
 
 
 def total_over_categories(column: str | Column) -> Column:
@@ -63,16 +63,18 @@ def status_share(ledger: DataFrame, key: str = "status") -> DataFrame:
     ).orderBy(F.desc("txn_count"), key)
 
 
-def type_value_skew(ledger: DataFrame, by: str = "txn_type", *, spread: bool | None = None) -> DataFrame:
-    """Successful value per type with mean against exact median."""
-    values = value_counts(ledger.filter(successful()), "amount", [by], spread=needs_spreading(ledger, spread))
-    rows, total = F.sum("rows"), F.sum("total")
+def type_value_skew(ledger: DataFrame, by: str = "txn_type") -> DataFrame:
+    """Successful value per type with mean against exact median; rows without an amount count as rows only."""
+    paid = ledger.filter(successful())
+    missing = paid.filter(F.col("amount").isNull()).groupBy(by).agg(row_count().alias("rows"))
+    values = value_counts(paid, "amount", [by]).unionByName(missing, allowMissingColumns=True)
+    total, counted = F.sum("total"), F.sum(F.when(F.col("value").isNotNull(), F.col("rows")))
     return (
         values.groupBy(by)
         .agg(
-            rows.alias("txn_count"),
+            F.sum("rows").alias("txn_count"),
             round_to(total, 0).alias("total_value"),
-            round_to(ratio(total, rows), 0).alias("avg_value"),
+            round_to(ratio(total, counted), 0).alias("avg_value"),
             round_to(percentile(0.5), 0).alias("median_value"),
         )
         .orderBy(F.desc("total_value"), by)

@@ -13,26 +13,29 @@ from pyspark.sql import functions as F
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import pct, round_to, row_count, successful, whole_days_between
 from ledgerlens.operators.rates import share_of_all
-from ledgerlens.plans.ordering import needs_spreading, ntile_ranks, percentile, value_counts, with_tiles
+from ledgerlens.plans.ordering import every_column, ntile_ranks, percentile, value_counts, with_tiles
 
 
-def customer_rfm(ledger: DataFrame, *, spread: bool | None = None) -> DataFrame:
-    """Quartile scores 1..4 (4 best) with customer_id as tie-break, and the segment they give."""
-    newest = ledger.agg(F.to_date(F.max("txn_ts"))).scalar()
-    per_customer = (
-        ledger.filter(successful())
-        .groupBy("customer_id")
-        .agg(
-            F.max("txn_ts").alias("last_ts"),
-            row_count().alias("frequency"),
-            F.sum("amount").alias("monetary"),
-        )
-        .select(
-            "customer_id",
-            F.datediff(newest, F.to_date("last_ts")).cast("bigint").alias("recency_days"),
-            "frequency",
-            "monetary",
-        )
+def customer_rfm(ledger: DataFrame) -> DataFrame:
+    """Quartile scores 1..4 (4 best) with customer_id as tie-break, and the segment they give.
+
+    The newest time counts every status, the scores successful transactions only; both come
+    from one aggregation per customer.
+    """
+    paid = successful()
+    per_customer = ledger.groupBy("customer_id").agg(
+        F.max("txn_ts").alias("any_ts"),
+        F.max(F.when(paid, F.col("txn_ts"))).alias("last_ts"),
+        F.count_if(paid).alias("frequency"),
+        F.sum(F.when(paid, F.col("amount"))).alias("monetary"),
+    )
+    newest = every_column(per_customer).agg(F.to_date(F.max("any_ts"))).scalar()
+    per_customer = per_customer.withColumn("newest", newest).filter(F.col("frequency") > 0)
+    per_customer = per_customer.select(
+        "customer_id",
+        F.datediff("newest", F.to_date("last_ts")).cast("bigint").alias("recency_days"),
+        "frequency",
+        "monetary",
     )
     scored = with_tiles(
         per_customer,
@@ -43,14 +46,15 @@ def customer_rfm(ledger: DataFrame, *, spread: bool | None = None) -> DataFrame:
         },
         "customer_id",
         ntile_ranks(4),
-        spread=needs_spreading(ledger, spread),
     )
-    recent, frequent, valuable = (F.col(c) >= 3 for c in ("r_score", "f_score", "m_score"))
+    # Fixed rule: thresholds and their order are part of the agreed result.
+    high = fv.HIGH_QUARTILE
+    r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     champions, at_risk, low, core = fv.QUARTILE_SEGMENTS
     segment = (
-        F.when(valuable & recent & frequent, champions)
-        .when(valuable & ~recent, at_risk)
-        .when(~valuable & ~frequent, low)
+        F.when((r >= high) & (f >= high) & (m >= high), champions)
+        .when((r < high) & (m >= high), at_risk)
+        .when((f < high) & (m < high), low)
         .otherwise(core)
     )
     return scored.withColumn("rfm_segment", segment)
@@ -101,13 +105,11 @@ _FIFTHS = (0.2, 0.4, 0.6, 0.8)
 
 def with_recency(model: DataFrame) -> DataFrame:
     """Whole days from each customer's last transaction to a day after the newest one."""
-    as_of = model.agg(F.max("last_txn") + F.expr("INTERVAL '1' DAY")).scalar()
+    as_of = every_column(model).agg(F.max("last_txn") + F.expr("INTERVAL '1' DAY")).scalar()
     return model.withColumn("recency_days", whole_days_between(F.col("last_txn"), as_of))
 
 
-def rfm_quintiles(
-    model: DataFrame, on_duplicate: str = "raise", *, spread: bool | None = None
-) -> DataFrame:
+def rfm_quintiles(model: DataFrame, on_duplicate: str = "raise") -> DataFrame:
     """Scores 1..5 by quantile edges of recency (reversed), activity and value; ordered segment rules.
 
     When equal values make two edges coincide there are fewer than five classes. "raise"
@@ -117,8 +119,8 @@ def rfm_quintiles(
         raise ValueError("on_duplicate is 'raise' or 'keep'")
     model = with_recency(model)
     metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in _METRICS]))
-    long = model.select(metrics.alias("m")).select("m.metric", "m.x")
-    edges = value_counts(long, "x", ["metric"], spread=needs_spreading(model, spread)).groupBy("metric").agg(
+    long = every_column(model).select(metrics.alias("m")).select("m.metric", "m.x")
+    edges = value_counts(long, "x", ["metric"]).groupBy("metric").agg(
         F.array(*[percentile(q) for q in (0.0, *_FIFTHS, 1.0)]).alias("edges")
     )
     if on_duplicate == "raise":

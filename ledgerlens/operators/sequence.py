@@ -19,39 +19,45 @@ def _gap_band(minutes: Column) -> Column:
 def gap_since_previous(ledger: DataFrame) -> DataFrame:
     """Review rate by minutes since the same customer's previous transaction.
 
-    Gaps count minute boundaries, so inside one minute every transaction but the first has
-    gap 0. Combining a customer's minute before the shuffle is therefore exact, and bounds
-    what one customer can bring to a window task by the minutes the ledger spans, however
-    many transactions they hold.
+    Transactions are ordered within a customer's day, so a customer of any size is shared
+    out over the days, and the last time of the day before comes from one row per customer
+    and day: the ledger is shuffled and sorted once. A transaction without a time sorts last
+    and has no gap, like a first one.
     """
     narrow = ledger.select(
         "customer_id",
+        F.to_date("txn_ts").alias("day"),
         "txn_ts",
         "txn_id",
-        minute_index(F.col("txn_ts")).alias("minute"),
         F.coalesce(flagged(), F.lit(False)).cast("bigint").alias("flag"),
     )
-    minutes = narrow.groupBy("customer_id", "minute").agg(
-        row_count().alias("rows"),
-        F.sum("flag").alias("flags"),
-        F.min_by("flag", F.struct("txn_ts", "txn_id")).alias("first_flag"),
+    timed = narrow.filter(F.col("txn_ts").isNotNull())
+    in_day = Window.partitionBy("customer_id", "day").orderBy("txn_ts", "txn_id")
+    lagged = timed.withColumn("before", F.lag("txn_ts").over(in_day))
+    # Rows that have their predecessor in the day are counted at once; a day's first row
+    # looks at the customer's day before.
+    days = lagged.groupBy("customer_id", "day").agg(
+        F.max("txn_ts").alias("last"),
+        F.min("txn_ts").alias("first"),
+        F.max(F.when(F.col("before").isNull(), F.col("flag"))).alias("first_flag"),
+        *[F.count_if(_in_band(i)).alias(f"n{i}") for i in range(len(fv.GAP_LABELS))],
+        *[F.sum(F.when(_in_band(i), F.col("flag")).otherwise(0)).alias(f"f{i}") for i in range(len(fv.GAP_LABELS))],
     )
-    gap = F.col("minute") - F.lag("minute").over(Window.partitionBy("customer_id").orderBy("minute"))
+    earlier = F.lag("last").over(Window.partitionBy("customer_id").orderBy("day"))
+    gap = minute_index(F.col("first")) - minute_index(F.col("earlier"))
+    within = [(F.lit(label), F.col(f"n{i}"), F.col(f"f{i}")) for i, label in enumerate(fv.GAP_LABELS)]
     parts = F.array(
-        F.struct(
-            _gap_band(F.col("gap")).alias("gap_since_previous"),
-            F.lit(1).cast("bigint").alias("n"),
-            F.col("first_flag").alias("f"),
-        ),
-        F.struct(
-            _gap_band(F.lit(0)).alias("gap_since_previous"),
-            (F.col("rows") - 1).alias("n"),
-            (F.col("flags") - F.col("first_flag")).alias("f"),
-        ),
+        *[
+            F.struct(label.alias("gap_since_previous"), n.cast("bigint").alias("n"), f.cast("bigint").alias("f"))
+            for label, n, f in [(_gap_band(F.col("gap")), F.lit(1), F.col("first_flag")), *within]
+        ]
+    )
+    counted = days.withColumn("earlier", earlier).withColumn("gap", gap).select(F.inline(parts))
+    untimed = narrow.filter(F.col("txn_ts").isNull()).select(
+        F.lit(fv.FIRST_LABEL).alias("gap_since_previous"), F.lit(1).cast("bigint").alias("n"), F.col("flag").alias("f")
     )
     return (
-        minutes.withColumn("gap", gap)
-        .select(F.inline(parts))
+        counted.union(untimed)
         .filter(F.col("n") > 0)
         .groupBy("gap_since_previous")
         .agg(F.sum("n").alias("txn_count"), pct(F.sum("f"), F.sum("n")).alias("review_rate_pct"))
@@ -59,6 +65,12 @@ def gap_since_previous(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _in_band(number: int) -> Column:
+    """Whether a row's gap to the one before it in the day lies in the band of that number."""
+    gap = minute_index(F.col("txn_ts")) - minute_index(F.col("before"))
+    return F.col("before").isNotNull() & (_gap_band(gap) == fv.GAP_LABELS[number])
+
+
 def pending_age(ledger: DataFrame) -> DataFrame:
     """Pending transactions and their value by age against the newest timestamp in the ledger."""
     newest = ledger.agg(F.to_date(F.max("txn_ts"))).scalar()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import binomial_tail, chi2_tail, failed, pct, ratio, round_to, row_count
 from ledgerlens.operators.rfm import with_recency
-from ledgerlens.plans.ordering import distinct_values, needs_spreading, percentile, value_counts
+from ledgerlens.plans.ordering import every_column, percentile, value_counts
 
 
 def two_proportion_ztest(
@@ -75,19 +75,16 @@ def failure_concentration_test(
 
 
 def _cells(ledger: DataFrame, row: str, column: str) -> DataFrame:
-    """Observed and expected count per occurring pair; a frame of categories, not of rows."""
+    """Observed count per occurring pair with its margins; a frame of categories, not of rows."""
     counts = (
         ledger.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
         .groupBy(row, column)
         .agg(row_count().alias("observed"))
     )
-    return counts.withColumns(
-        {
-            "row_total": F.sum("observed").over(Window.partitionBy(row)),
-            "column_total": F.sum("observed").over(Window.partitionBy(column)),
-            "n": F.sum("observed").over(Window.partitionBy()),
-        }
-    )
+    rows = counts.groupBy(row).agg(F.sum("observed").alias("row_total"))
+    columns = counts.groupBy(column).agg(F.sum("observed").alias("column_total"))
+    n = counts.agg(F.sum("observed")).scalar()
+    return counts.join(rows, row).join(columns, column).withColumn("n", n)
 
 
 def chi_square_independence(
@@ -97,30 +94,28 @@ def chi_square_independence(
 
     Written so that pairs which never occur need no row: uncorrected, n * (sum of
     observed^2 / (row total * column total) - 1); in a 2x2 table every cell is equally far
-    from its expectation, so one distance and the four totals are enough.
+    from its expectation, so one distance and the four totals are enough. Margins are plain
+    aggregates, so any number of categories will do.
     """
+    cells = _cells(ledger, row, column)
     product_of_totals = F.col("row_total").cast("double") * F.col("column_total")
-    summed = _cells(ledger, row, column).agg(
-        F.max(F.abs(F.col("observed") - product_of_totals / F.col("n"))).alias("distance"),
-        F.sum(F.col("observed").cast("double") * F.col("observed") / product_of_totals).alias("fit"),
+    observed = F.col("observed").cast("double")
+    # A category's 1 / total is met once per pair it occurs in; weighted by the pair's share
+    # of the category it adds up to 1 / total, and the shares to the number of categories.
+    summed = cells.agg(
+        F.max(F.abs(observed - product_of_totals / F.col("n"))).alias("distance"),
+        F.sum(observed * observed / product_of_totals).alias("fit"),
         F.max("n").cast("double").alias("n"),
-        F.collect_set(F.struct(row, "row_total")).alias("row_totals"),
-        F.collect_set(F.struct(column, "column_total")).alias("column_totals"),
+        F.sum(observed / F.col("row_total") / F.col("row_total")).alias("row_inverse"),
+        F.sum(observed / F.col("column_total") / F.col("column_total")).alias("column_inverse"),
+        F.round(F.sum(observed / F.col("row_total"))).cast("bigint").alias("rows"),
+        F.round(F.sum(observed / F.col("column_total"))).cast("bigint").alias("columns"),
     )
-
-    def inverse_sum(totals: str, name: str) -> Column:
-        return F.aggregate(totals, F.lit(0.0), lambda acc, t: acc + F.lit(1.0) / t[name])
-
     corrected = F.greatest(F.lit(0.0), F.col("distance") - 0.5)
-    two_by_two = (
-        F.pow(corrected, F.lit(2))
-        * F.col("n")
-        * inverse_sum("row_totals", "row_total")
-        * inverse_sum("column_totals", "column_total")
-    )
+    two_by_two = F.pow(corrected, F.lit(2)) * F.col("n") * F.col("row_inverse") * F.col("column_inverse")
     tested = (
         summed.filter(F.col("n").isNotNull())
-        .withColumn("dof", (F.size("row_totals") - 1) * (F.size("column_totals") - 1))
+        .withColumn("dof", ((F.col("rows") - 1) * (F.col("columns") - 1)).cast("int"))
         .withColumn(
             "chi2",
             F.when(F.col("dof") == 0, F.lit(0.0))
@@ -138,20 +133,22 @@ def chi_square_independence(
 
 
 def expected_counts(ledger: DataFrame, row: str = "international", column: str = "risk_flag") -> DataFrame:
-    """Observed against expected count for every pair of categories, absent pairs with 0."""
+    """Observed against expected count for every pair of categories, absent pairs with 0.
+
+    The result is the full table, rows times columns: meant for category columns. Each row
+    category meets the column categories in as many parts as there are shuffle partitions.
+    """
     cells = _cells(ledger, row, column)
-    margins = cells.agg(
-        F.collect_set(F.struct(row, "row_total")).alias("rows"),
-        F.collect_set(F.struct(column, "column_total")).alias("columns"),
-        F.max("n").alias("n"),
-    )
-    grid = (
-        margins.select("n", "columns", F.inline("rows"))
-        .select("n", row, "row_total", F.inline("columns"))
-        .withColumn("expected", round_to(F.col("row_total").cast("double") * F.col("column_total") / F.col("n"), 4))
-    )
+    parts = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.groupBy(row).agg(F.max("row_total").alias("row_total"), F.max("n").alias("n"))
+    columns = cells.groupBy(column).agg(F.max("column_total").alias("column_total"))
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    dealt = columns.select(column, "column_total", F.pmod(F.xxhash64(column), F.lit(parts)).cast("int").alias("part"))
+    expected = round_to(F.col("row_total").cast("double") * F.col("column_total") / F.col("n"), 4)
+    grid = rows.select(row, "row_total", "n", every_part).join(dealt, "part")
     return (
-        grid.join(cells.select(row, column, "observed"), [row, column], "left")
+        grid.select(row, column, expected.alias("expected"))
+        .join(cells.select(row, column, "observed"), [row, column], "left")
         .select(row, column, F.coalesce("observed", F.lit(0)).cast("bigint").alias("observed"), "expected")
         .orderBy(row, column)
     )
@@ -187,9 +184,9 @@ def _iqr_bound(q1: Column, q3: Column) -> Column:
     return q3 + fv.WHISKER_IQRS * (q3 - q1)
 
 
-def amount_outliers(ledger: DataFrame, value: str = "amount", *, spread: bool | None = None) -> DataFrame:
+def amount_outliers(ledger: DataFrame, value: str = "amount") -> DataFrame:
     """Mean, median, bias-adjusted skewness, upper IQR bound, rows above it, maximum."""
-    values = value_counts(ledger, value, spread=needs_spreading(ledger, spread))
+    values = value_counts(ledger, value)
     values = values.withColumn("bound", values.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar())
     bound = F.col("bound")
     rows = F.col("rows").cast("double")
@@ -210,11 +207,9 @@ def amount_outliers(ledger: DataFrame, value: str = "amount", *, spread: bool |
     )
 
 
-def customer_value_outliers(
-    model: DataFrame, value: str = "value_success", *, spread: bool | None = None
-) -> DataFrame:
+def customer_value_outliers(model: DataFrame, value: str = "value_success") -> DataFrame:
     """Customers strictly above the upper IQR bound of successful value."""
-    values = value_counts(model, value, spread=needs_spreading(model, spread))
+    values = value_counts(model, value)
     bound = values.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar()
     return (
         model.select("customer_id", value, bound.alias("cutoff"))
@@ -250,27 +245,18 @@ def log_histogram(ledger: DataFrame, value: str = "amount", bins: int = fv.HISTO
     )
 
 
-_BOX_SLOTS = 64
-
-
-def box_stats(
-    ledger: DataFrame, by: str = "txn_type", value: str = "amount", *, spread: bool | None = None
-) -> DataFrame:
+def box_stats(ledger: DataFrame, by: str = "txn_type", value: str = "amount") -> DataFrame:
     """Quartiles per type and the outermost values within 1.5 IQR of the box, by median."""
     typed = ledger.filter(F.col(by).isNotNull())
-    values = value_counts(typed, value, [by], spread=needs_spreading(ledger, spread))
-    boxes = values.groupBy(by).agg(
+    values = value_counts(typed, value, [by])
+    boxes = every_column(values).groupBy(by).agg(
         percentile(0.25).alias("q1"), percentile(0.5).alias("median"), percentile(0.75).alias("q3")
     )
+    # `boxes` has a row per type, which adaptive execution broadcasts; where it cannot, it
+    # splits the values of a type that holds most of them.
     x, reach = F.col("value").cast("double"), fv.WHISKER_IQRS * (F.col("q3") - F.col("q1"))
-    # The join sees distinct values, not rows, and a type is shared out over several slots
-    # so that one holding most of the values does not end up in one task.
-    slots = F.sequence(F.lit(0), F.lit(_BOX_SLOTS - 1))
-    values_in_slots = distinct_values(typed, value, [by]).withColumn(
-        "slot", F.pmod(F.xxhash64("value"), F.lit(_BOX_SLOTS)).cast("int")
-    )
     return (
-        values_in_slots.join(boxes.withColumn("slot", F.explode(slots)), [by, "slot"])
+        values.join(boxes, by)
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.min(F.when(x >= F.col("q1") - reach, x)).alias("whisker_low"),

@@ -26,6 +26,18 @@ ORDER_REPORTS = (
     "amount_outliers",
 )
 
+# Reports run on the ledger with missing amounts and times as well.
+GAPPED_REPORTS = (
+    "value_deciles",
+    "value_tiers",
+    "customer_rfm",
+    "value_decile_share_all",
+    "cumulative_value_curve",
+    "gap_since_previous",
+    "type_value_skew",
+    "kpi_summary",
+)
+
 _LEDGER = """
 ledger as (
   select event_id as txn_id, user_id as customer_id,
@@ -40,6 +52,13 @@ ledger as (
   from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events)
 )"""
 
+_GAPPED = _LEDGER.replace("ledger as", "full_ledger as") + """,
+ledger as (
+  select * replace (case when customer_id % 11 = 5 or txn_id % 7 = 3 then null else amount end as amount,
+                    case when txn_id % 13 = 4 then null else txn_ts end as txn_ts)
+  from full_ledger
+)"""
+
 _ACCOUNT = """
 account as (
   select c_custkey as customer_id, c_mktsegment as segment,
@@ -79,10 +98,11 @@ model as (
 
 _RFM = f"""
 rfm as (
-  select *, case
-      when m_score > 2 and r_score > 2 and f_score > 2 then '{fv.QUARTILE_SEGMENTS[0]}'
-      when m_score > 2 and r_score < 3 then '{fv.QUARTILE_SEGMENTS[1]}'
-      when m_score < 3 and f_score < 3 then '{fv.QUARTILE_SEGMENTS[2]}'
+  select *, case  -- fixed rule, as in the agreed result
+      when r_score >= {fv.HIGH_QUARTILE} and f_score >= {fv.HIGH_QUARTILE} and m_score >= {fv.HIGH_QUARTILE}
+          then '{fv.QUARTILE_SEGMENTS[0]}'
+      when r_score < {fv.HIGH_QUARTILE} and m_score >= {fv.HIGH_QUARTILE} then '{fv.QUARTILE_SEGMENTS[1]}'
+      when f_score < {fv.HIGH_QUARTILE} and m_score < {fv.HIGH_QUARTILE} then '{fv.QUARTILE_SEGMENTS[2]}'
       else '{fv.QUARTILE_SEGMENTS[3]}' end as rfm_segment
   from (select *, ntile(4) over (order by recency_days desc, customer_id) as r_score,
                   ntile(4) over (order by frequency, customer_id) as f_score,
@@ -346,6 +366,11 @@ _LEDGER_SQL: dict[str, str] = {
     "reconcile_risk_matrix": f"""
         select txn_type, channel as measure, r as left_value, r as right_value, true as matches
         from (select txn_type, channel, round(avg(cast({_FLAG} as int)), 6) as r from ledger group by all)""",
+    "reconcile_kpi": f"""
+        select 'all' as scope, measure, v as left_value, v as right_value, true as matches
+        from (select unnest(['total_transactions', 'successful_transactions', 'successful_value']) as measure,
+                     unnest([count(*)::double, count(*) filter ({_OK})::double, (sum(amount) filter ({_OK}))::double]) as v
+              from ledger)""",
 }
 
 _BOTH_SQL: dict[str, str] = {
@@ -513,4 +538,6 @@ def oracle_sql() -> dict[str, str]:
 
     for name in ORDER_REPORTS:
         out[f"orders_{name}"] = out[name].replace(_LEDGER, _ORDERS)
+    for name in GAPPED_REPORTS:
+        out[f"gapped_{name}"] = out[name].replace(_LEDGER, _GAPPED)
     return out

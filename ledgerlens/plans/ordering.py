@@ -14,9 +14,8 @@ Ordering keys have to be unique within their group. Callers get there by aggrega
 equal values first (`value_counts`) or by adding the row id to the key, so a value held
 by a third of all rows never forces them into one slice.
 
-For inputs of at most `SMALL_ROWS` rows, which fit one task with certainty, the plain
-window is used instead; both ways give the same rows. `needs_spreading` makes that choice
-by counting the input, which for a parquet ledger reads file footers only.
+NULL sorts last, ascending and descending, as SQL engines rank it by default: `last`
+gives the key parts for that. Building a plan starts no job.
 """
 
 from __future__ import annotations
@@ -26,19 +25,26 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 1_000_000
 SAMPLES_PER_BUCKET = 16
-MAX_BUCKETS = 4_096
 
 
-def needs_spreading(df: DataFrame, spread: bool | None = None) -> bool:
-    """`spread` if given, otherwise whether `df` is too large for one task."""
-    return df.count() > SMALL_ROWS if spread is None else spread
+def bucket_count(spark: SparkSession) -> int:
+    """Two slices per shuffle partition, so slices grow in number with the cluster's settings."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Two slices per shuffle partition, so the split-point array stays small and bounded."""
-    return min(MAX_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def last(key: Column) -> tuple[Column, Column]:
+    """Two key parts that sort `key` ascending with NULL last (struct order alone puts it first)."""
+    return key.isNull(), key
+
+
+def every_column(df: DataFrame) -> DataFrame:
+    """df through a condition that always holds and reads each column.
+
+    A subquery over it keeps the columns of the main plan, so both read one shuffle output
+    instead of scanning the input twice.
+    """
+    return df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(2)) < 2)
 
 
 def _with_bucket(items: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -65,23 +71,14 @@ def _with_bucket(items: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def running_totals(
-    items: DataFrame, order: Sequence[str], measures: Sequence[str], by: Sequence[str] = (), *, spread: bool
+    items: DataFrame, order: Sequence[str], measures: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Add `<m>_to` (total of m up to and including the row) and `<m>_all` (group total).
 
-    Rows are ordered ascending by `order`, unique within `by`. When spread, a group of any
-    size is shared out over the slices, and the slice offsets are joined on the partitioning
-    the inner window already has.
+    Rows are ordered ascending by `order`, unique within `by`. A group of any size is shared
+    out over the slices, and the slice offsets are joined on the partitioning the inner
+    window already has.
     """
-    if not spread:
-        group = Window.partitionBy(*by)
-        upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return items.select(
-            *items.columns,
-            *[F.sum(m).over(upto).alias(f"{m}_to") for m in measures],
-            *[F.sum(m).over(group).alias(f"{m}_all") for m in measures],
-        )
-
     # A missing group is a group of its own: spelled out, because a join drops NULL keys.
     named = {f"_group{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for i, c in enumerate(by)}
     bucketed = _with_bucket(items, order).withColumns(named) if by else _with_bucket(items, order)
@@ -117,12 +114,12 @@ def distinct_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), *, spread: bool) -> DataFrame:
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """`distinct_values` with running and group totals (`rows_to`, `rows_all`, `total_all`).
 
     The input is scanned once; exact percentiles and moments read off the result.
     """
-    return running_totals(distinct_values(df, value, by), ["value"], ["rows", "total"], by, spread=spread)
+    return running_totals(distinct_values(df, value, by), ["value"], ["rows", "total"], by)
 
 
 def percentile(q: float) -> Column:
@@ -166,32 +163,29 @@ def with_tiles(
     tiles: Mapping[str, Column],
     tiebreak: str,
     ranks: Callable[[Column], list[Column]],
-    *,
-    spread: bool,
 ) -> DataFrame:
     """Add one tile number per entry of `tiles`, counting from 1 in ascending (sort value, tiebreak).
 
-    `ranks` gives the last rank of each tile but the final one. When spread, only the rows
-    at those ranks are looked up and every row is compared with those few keys where it
-    stands, so the input itself is neither sorted nor shuffled. All sort values need one
-    common type. `tiebreak` identifies a row.
+    NULL sorts last in both. `ranks` gives the last rank of each tile but the final one. Only
+    the rows at those ranks are looked up and every row is compared with those few keys where
+    it stands, so the input itself is neither sorted nor shuffled. All sort values need one
+    common type. `tiebreak` identifies a row, as after grouping by it; where it does not,
+    `unique_rows` numbers the copies first.
     """
-    if not spread:
-        n = F.count(F.lit(1)).over(Window.partitionBy())
-
-        def ranked_tile(sort_value: Column) -> Column:
-            rank = F.row_number().over(Window.orderBy(sort_value, tiebreak))
-            return sum(((rank > cut).cast("int") for cut in ranks(n)), F.lit(1))
-
-        return df.withColumns({name: ranked_tile(sort_value) for name, sort_value in tiles.items()})
-
     cut_count = len(ranks(F.lit(1)))
     names = list(tiles)
-    keys = {name: F.struct(sort_value.alias("at"), F.col(tiebreak).alias("id")) for name, sort_value in tiles.items()}
+
+    def key(sort_value: Column) -> Column:
+        none, at = last(sort_value)
+        id_none, row = last(F.col(tiebreak))
+        return F.struct(none.alias("none"), at.alias("at"), id_none.alias("id_none"), row.alias("id"))
+
+    keys = {name: key(sort_value) for name, sort_value in tiles.items()}
+    parts = ["none", "at", "id_none", "id"]
 
     entries = F.array(*[F.struct(F.lit(i).alias("metric"), keys[name].alias("key")) for i, name in enumerate(names)])
-    items = df.select(F.inline(entries)).select("metric", "key.at", "key.id")
-    bucketed = _with_bucket(items, ["at", "id"])
+    items = df.select(F.inline(entries)).select("metric", *[F.col(f"key.{p}").alias(p) for p in parts])
+    bucketed = _with_bucket(items, parts)
 
     slices = bucketed.groupBy("metric", "_bucket").agg(F.count(F.lit(1)).alias("rows"))
     whole = Window.partitionBy("metric")
@@ -204,15 +198,15 @@ def with_tiles(
         .agg(F.collect_list(F.struct("cut", (F.col("rank") - F.col("to") + F.col("rows")).alias("nth"))).alias("cuts"))
     )
     # At most len(tiles) * cut_count rows, both fixed by the call.
-    nth = F.row_number().over(Window.partitionBy("metric", "_bucket").orderBy("at", "id"))
+    nth = F.row_number().over(Window.partitionBy("metric", "_bucket").orderBy(*parts))
     found = (
         bucketed.join(F.broadcast(wanted), ["metric", "_bucket"])
         .withColumn("n", nth)
-        .select("metric", "at", "id", "n", F.inline("cuts"))
+        .select("metric", *parts, "n", F.inline("cuts"))
         .filter(F.col("n") == F.col("nth"))
     )
     slot = F.col("metric") * cut_count + F.col("cut")
-    by_slot = found.agg(F.map_from_entries(F.collect_list(F.struct(slot, F.struct("at", "id")))).alias("by_slot"))
+    by_slot = found.agg(F.map_from_entries(F.collect_list(F.struct(slot, F.struct(*parts)))).alias("by_slot"))
     every_slot = F.sequence(F.lit(0), F.lit(len(names) * cut_count - 1))
     cuts = by_slot.select(F.transform(every_slot, lambda i: F.try_element_at("by_slot", i))).scalar()
 
@@ -227,3 +221,71 @@ def with_tiles(
     # Held in a column, so the lookup is planned once however many cuts refer to it.
     with_cuts = df.withColumn("_cuts", cuts)
     return with_cuts.withColumns({name: tile(i) for i, name in enumerate(names)}).drop("_cuts")
+
+
+def counted_tiles(
+    df: DataFrame,
+    value: str,
+    tiebreak: str,
+    measures: Mapping[str, Column],
+    ranks: Callable[[Column], list[Column]],
+) -> DataFrame:
+    """Rows, value and measures of each tile of the rows by falling `value`, NULL last.
+
+    One row per tile and value or key that a cut divides, for the caller to add up: `tile`,
+    `value`, `rows`, `total` (sum of the value) and the measures (whole numbers per row).
+    Rows of one value are counted before the shuffle, so a value held by many rows is one
+    item. Only a value that a cut divides has its rows looked at again, ordered by
+    `tiebreak` (NULL last); equal rows, being interchangeable, are divided by number. Both
+    steps scan the input once.
+    """
+    rows = df.select(F.col(value).alias("value"), F.col(tiebreak).alias("id"), *[c.alias(m) for m, c in measures.items()])
+    names = list(measures)
+    none, down = last(-F.col("value"))
+    counted = (
+        rows.groupBy("value")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total"), *[F.sum(m).alias(m) for m in names])
+        .withColumns({"none": none, "down": down})
+    )
+    ranked = running_totals(counted, ["none", "down"], ["rows"])
+    cuts = F.array(*ranks(F.col("rows_all")))
+    start = F.col("rows_to") - F.col("rows")
+    ranked = ranked.select(
+        "value", "rows", "total", *names, "rows_to", cuts.alias("cuts"), start.alias("start"),
+        F.exists(cuts, lambda c: (c > start) & (c < F.col("rows_to"))).alias("divided"),
+    )
+
+    def tile_of(rank: Column) -> Column:
+        return F.size(F.filter("cuts", lambda c: c < rank)) + 1
+
+    whole = ranked.filter(~F.col("divided")).select(tile_of(F.col("rows_to")).alias("tile"), "value", "rows", "total", *names)
+    # No more divided values than cuts.
+    divided = ranked.filter("divided").select(F.col("value").alias("cut_value"), "start", "cuts")
+    id_none, row = last(F.col("id"))
+    ties = rows.join(F.broadcast(divided), F.col("value").eqNullSafe(F.col("cut_value"))).groupBy(
+        "start", "value", id_none.alias("id_none"), row.alias("id"), *names
+    )
+    ties = ties.agg(F.count(F.lit(1)).alias("rows"), F.first("cuts").alias("cuts"))
+    order = ["id_none", "id", *names]
+    spread = running_totals(ties, order, ["rows"], ["start"])
+    first, end = F.col("start") + F.col("rows_to") - F.col("rows"), F.col("start") + F.col("rows_to")
+    edges = F.concat(F.array(F.lit(0).cast("bigint")), "cuts", F.array(F.lit(2**62)))
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.size("cuts") + 1),
+        lambda t: F.struct(
+            t.alias("tile"),
+            (F.least(end, F.get(edges, t)) - F.greatest(first, F.get(edges, t - 1))).alias("n"),
+        ),
+    )
+    parted = spread.select("value", *names, F.inline(pieces)).filter("n > 0")
+    parted = parted.select(
+        "tile", "value", F.col("n").alias("rows"), (F.col("value") * F.col("n")).alias("total"),
+        *[(F.col(m) * F.col("n")).alias(m) for m in names],
+    )
+    return whole.unionByName(parted)
+
+
+def unique_rows(df: DataFrame, identity: str, name: str = "_copy") -> tuple[DataFrame, str]:
+    """df with a column that tells the rows of one `identity` apart, usable as a tiebreak."""
+    copy = F.row_number().over(Window.partitionBy(identity).orderBy(*[c for c in df.columns if c != identity]))
+    return df.withColumn(name, F.struct(F.col(identity).isNull(), F.col(identity), copy)), name

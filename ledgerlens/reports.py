@@ -7,37 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ledgerlens.operators import concentration, customers, kpi, profiling, rates, rfm, rules, sequence, statistics
-from ledgerlens.plans.ordering import needs_spreading
 from ledgerlens.sources import ledger as tables
 
 Report = Callable[..., DataFrame]
 
 
 def _of_both(operator: Callable[..., DataFrame]) -> Report:
-    return lambda ledger, accounts, spread=None: operator(ledger, accounts)
+    return lambda ledger, accounts: operator(ledger, accounts)
 
 
 def _of_ledger(operator: Callable[..., DataFrame]) -> Report:
-    return lambda ledger, accounts, spread=None: operator(ledger)
+    return lambda ledger, accounts: operator(ledger)
 
 
 def _of_accounts(operator: Callable[..., DataFrame]) -> Report:
-    return lambda ledger, accounts, spread=None: operator(accounts)
+    return lambda ledger, accounts: operator(accounts)
 
 
-def _ranked_ledger(operator: Callable[..., DataFrame]) -> Report:
-    return lambda ledger, accounts, spread=None: operator(ledger, spread=spread)
-
-
-def _ranked_accounts(operator: Callable[..., DataFrame]) -> Report:
-    return lambda ledger, accounts, spread=None: operator(accounts, spread=spread)
-
-
-def _ranked_model(operator: Callable[..., DataFrame]) -> Report:
-    """The ledger is what gets counted: it bounds the customers in the model and is cheaper to count."""
-    return lambda ledger, accounts, spread=None: operator(
-        customers.customer_model(ledger, accounts), spread=needs_spreading(ledger, spread)
-    )
+def _of_model(operator: Callable[..., DataFrame]) -> Report:
+    return lambda ledger, accounts: operator(customers.customer_model(ledger, accounts))
 
 
 REPORTS: dict[str, Report] = {
@@ -45,7 +33,7 @@ REPORTS: dict[str, Report] = {
     "relationship_check": _of_both(profiling.relationship_check),
     "status_share": _of_ledger(rates.status_share),
     # rates by one dimension
-    "type_value_skew": _ranked_ledger(rates.type_value_skew),
+    "type_value_skew": _of_ledger(rates.type_value_skew),
     "channel_rates": _of_ledger(rates.channel_rates),
     "review_rate_by_type": _of_ledger(rates.review_rate_by_type),
     "international_profile": _of_ledger(rates.international_profile),
@@ -63,31 +51,27 @@ REPORTS: dict[str, Report] = {
     "failure_distribution": _of_ledger(customers.failure_distribution),
     "customer_model": _of_both(customers.customer_model),
     # concentration
-    "value_deciles": _ranked_ledger(concentration.value_deciles),
-    "value_tiers": _ranked_ledger(concentration.value_tiers),
-    "value_decile_share_all": _ranked_ledger(concentration.value_decile_share_all),
-    "concentration_summary": _ranked_ledger(concentration.concentration_summary),
-    "cumulative_value_curve": _ranked_ledger(concentration.cumulative_value_curve),
-    "pareto_share": _ranked_model(concentration.pareto_share),
+    "value_deciles": _of_ledger(concentration.value_deciles),
+    "value_tiers": _of_ledger(concentration.value_tiers),
+    "value_decile_share_all": _of_ledger(concentration.value_decile_share_all),
+    "concentration_summary": _of_ledger(concentration.concentration_summary),
+    "cumulative_value_curve": _of_ledger(concentration.cumulative_value_curve),
+    "pareto_share": _of_model(concentration.pareto_share),
     # recency, frequency, monetary
-    "customer_rfm": _ranked_ledger(rfm.customer_rfm),
-    "rfm_segment_summary": _ranked_ledger(
-        lambda ledger, spread: rfm.rfm_segment_summary(rfm.customer_rfm(ledger, spread=spread))
-    ),
-    "rfm_vs_labels": lambda ledger, accounts, spread=None: rfm.rfm_vs_labels(
-        rfm.customer_rfm(ledger, spread=spread), accounts
-    ),
-    "rfm_quintiles": _ranked_model(rfm.rfm_quintiles),
-    "rfm_quintile_summary": _ranked_model(
-        lambda model, spread: rfm.rfm_quintile_summary(rfm.rfm_quintiles(model, spread=spread))
+    "customer_rfm": _of_ledger(rfm.customer_rfm),
+    "rfm_segment_summary": _of_ledger(lambda ledger: rfm.rfm_segment_summary(rfm.customer_rfm(ledger))),
+    "rfm_vs_labels": lambda ledger, accounts: rfm.rfm_vs_labels(
+        rfm.customer_rfm(ledger), accounts
     ),
+    "rfm_quintiles": _of_model(rfm.rfm_quintiles),
+    "rfm_quintile_summary": _of_model(lambda model: rfm.rfm_quintile_summary(rfm.rfm_quintiles(model))),
     # tests, rules, sequence
     "two_proportion_ztest": _of_ledger(statistics.two_proportion_ztest),
     "failure_concentration_test": _of_ledger(statistics.failure_concentration_test),
     "rule_scorecard": _of_ledger(rules.rule_scorecard),
     "pending_age": _of_ledger(sequence.pending_age),
     "gap_since_previous": _of_ledger(sequence.gap_since_previous),
-    "kpi_summary": _ranked_ledger(kpi.kpi_summary),
+    "kpi_summary": _of_ledger(kpi.kpi_summary),
     # loading and profiling
     "preview_transactions": _of_ledger(lambda ledger: tables.preview(ledger, "txn_id")),
     "preview_customers": _of_accounts(lambda accounts: tables.preview(accounts, "customer_id")),
@@ -99,8 +83,8 @@ REPORTS: dict[str, Report] = {
     "profile_nulls_customers": _of_accounts(profiling.profile_nulls),
     "profile_duplicates_transactions": _of_ledger(profiling.profile_duplicates),
     "profile_duplicates_customers": _of_accounts(profiling.profile_duplicates),
-    "profile_describe_transactions": _ranked_ledger(profiling.profile_describe),
-    "profile_describe_customers": _ranked_accounts(profiling.profile_describe),
+    "profile_describe_transactions": _of_ledger(profiling.profile_describe),
+    "profile_describe_customers": _of_accounts(profiling.profile_describe),
     "merge_left_check": _of_both(profiling.merge_left_check),
     # tables behind the charts
     "status_value_counts": _of_ledger(lambda ledger: rates.value_counts_share(ledger, "status")),
@@ -109,8 +93,8 @@ REPORTS: dict[str, Report] = {
     ),
     "value_by_type_millions": _of_ledger(rates.value_by_type_millions),
     "log_histogram": _of_ledger(statistics.log_histogram),
-    "box_stats": _ranked_ledger(statistics.box_stats),
-    "amount_outliers": _ranked_ledger(statistics.amount_outliers),
+    "box_stats": _of_ledger(statistics.box_stats),
+    "amount_outliers": _of_ledger(statistics.amount_outliers),
     "failure_rate_by_channel": _of_ledger(rates.failure_rate_by_channel),
     "review_rate_by_type_1dp": _of_ledger(rates.review_rate_by_type_1dp),
     "crosstab": _of_ledger(rates.crosstab),
@@ -120,7 +104,7 @@ REPORTS: dict[str, Report] = {
         lambda ledger, accounts: statistics.correlation_matrix(customers.customer_model(ledger, accounts))
     ),
     "risk_pivot": _of_ledger(rates.risk_pivot),
-    "customer_value_outliers": _ranked_model(statistics.customer_value_outliers),
+    "customer_value_outliers": _of_model(statistics.customer_value_outliers),
     "monthly_trend": _of_ledger(rates.monthly_trend),
 }
 
@@ -148,6 +132,5 @@ RANKED = (
 )
 
 
-def run(name: str, ledger: DataFrame, accounts: DataFrame, *, spread: bool | None = None) -> DataFrame:
-    """Build a report. `spread` overrides the size check of the ranked ones."""
-    return REPORTS[name](ledger, accounts, spread)
+def run(name: str, ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+    return REPORTS[name](ledger, accounts)

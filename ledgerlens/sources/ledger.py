@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import flagged, month_label, successful
+from ledgerlens.operators import rfm
 
 _TYPES: dict[str, T.DataType] = {"txn_ts": T.TimestampNTZType(), "amount": T.DecimalType(18, 2)}
 
@@ -60,6 +61,21 @@ def load_customers(
     return _load_csv(spark, path, fv.CUSTOMER_HEADERS, headers, types)
 
 
+def parse_csv_lines(
+    lines: DataFrame,
+    line: str,
+    headers: Iterable[str],
+    names: Mapping[str, str],
+    types: Mapping[str, T.DataType] | None = None,
+    options: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Rows of CSV text, one per line, typed as the loaders type a file; a bad value stops the job."""
+    fields = csv_schema(headers, names, types).fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    parsed = F.from_csv(F.col(line), schema, {"mode": "FAILFAST", **(options or {})})
+    return _canonical(lines.select(parsed.alias("row")).select("row.*"), names)
+
+
 def clean(df: DataFrame, columns: Iterable[str] = fv.CLEANED_COLUMNS, unknown: str = fv.UNKNOWN) -> DataFrame:
     """Blank or missing categories become one explicit category."""
     present = [c for c in columns if c in df.columns]
@@ -86,13 +102,16 @@ def save_by_month(ledger: DataFrame, path: str) -> None:
     """Store as parquet partitioned by month, so month filters prune whole directories.
 
     Rebalancing on the partition column lets adaptive execution split a large month over
-    several writers and merge small ones, one file set per month.
+    several writers and merge small ones, one file set per month. Months that the ledger
+    does not hold stay as they are stored.
     """
     monthly = ledger.withColumn("month", month_label(F.col("txn_ts")))
-    monthly.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
+    writer = monthly.hint("rebalance", "month").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def register_views(ledger: DataFrame, accounts: DataFrame) -> None:
-    """Expose both tables to `spark.sql` as `transactions` and `customers`."""
+    """Expose both tables to `spark.sql` as `transactions` and `customers`, and the quartile model as `customer_rfm`."""
     ledger.createOrReplaceTempView("transactions")
     accounts.createOrReplaceTempView("customers")
+    rfm.customer_rfm(ledger).createOrReplaceTempView("customer_rfm")

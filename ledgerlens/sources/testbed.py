@@ -62,6 +62,16 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr("*", "cast(regexp_extract(props, '([0-9]+)', 1) as int) as k").selectExpr(*_EVENT_LEDGER)
 
 
+def gapped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event ledger with missing amounts and times by a rule on its ids; some customers have no amount at all."""
+    missing = "customer_id % 11 = 5 or txn_id % 7 = 3"
+    return event_ledger(spark, sf_dir).selectExpr(
+        "* except (amount, txn_ts)",
+        f"case when {missing} then null else amount end as amount",
+        "case when txn_id % 13 = 4 then null else txn_ts end as txn_ts",
+    )
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`customer` as the account table; some device and location texts are blank or missing."""
     return _table(spark, sf_dir, "customer", _CUSTOMER).selectExpr(*_ACCOUNTS)

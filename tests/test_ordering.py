@@ -1,9 +1,10 @@
-"""The spread plans against the plain windows and against brute force."""
+"""The distributed plans against plain windows and against brute force."""
 
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import ordering
@@ -29,21 +30,19 @@ def ntile(n, k):
     return out
 
 
-@pytest.mark.parametrize("spread", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 3, 10, 25, 101, 3000])
-def test_ntile(spark, skewed, n, spread):
+def test_ntile(spark, skewed, n):
     df = skewed.filter(F.col("id") < n)
-    tiles = ordering.with_tiles(df, {"t": -F.col("v")}, "id", ordering.ntile_ranks(10), spread=spread)
+    tiles = ordering.with_tiles(df, {"t": -F.col("v")}, "id", ordering.ntile_ranks(10))
     got = {r.id: r.t for r in tiles.collect()}
     ranked = sorted(enumerate(skewed_values(3000)[:n]), key=lambda r: (-r[1], r[0]))
     assert got == {i: t for (i, _), t in zip(ranked, ntile(n, 10))}
 
 
-@pytest.mark.parametrize("spread", [False, True])
 @pytest.mark.parametrize("n", [1, 7, 25, 150, 1507])
-def test_quantile_ranks_equal_edges_over_ranks(skewed, n, spread):
+def test_quantile_ranks_equal_edges_over_ranks(skewed, n):
     df = skewed.filter(F.col("id") < n)
-    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.quantile_ranks(10), spread=spread)
+    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.quantile_ranks(10))
     got = [r.t for r in tiles.orderBy("v", "id").collect()]
     ranks = np.arange(1, n + 1)
     edges = np.quantile(ranks, np.arange(1, 10) / 10)
@@ -52,37 +51,68 @@ def test_quantile_ranks_equal_edges_over_ranks(skewed, n, spread):
 
 def test_quantile_sizes_differ_from_ntile(skewed):
     df = skewed.filter(F.col("id") < 25)
-    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.quantile_ranks(10), spread=True)
+    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.quantile_ranks(10))
     sizes = [r["count"] for r in tiles.groupBy("t").count().orderBy("t").collect()]
     assert sizes == [3, 2, 3, 2, 3, 2, 2, 3, 2, 3]
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_fraction_ranks_below_one_row(skewed, spread):
+def test_fraction_ranks_below_one_row(skewed):
     df = skewed.filter(F.col("id") < 5)
-    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.fraction_ranks(0.1, 0.5), spread=spread)
+    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.fraction_ranks(0.1, 0.5))
     # Nothing fits into the first tenth of five rows; two fit into the first half.
     assert [r.t for r in tiles.orderBy("v", "id").collect()] == [2, 2, 3, 3, 3]
 
 
 def test_several_tiles_in_one_pass(skewed):
     orders = {"up": F.col("v"), "down": -F.col("v"), "by_id": F.col("id").cast("double")}
-    plain = ordering.with_tiles(skewed, orders, "id", ordering.ntile_ranks(4), spread=False)
-    spread = ordering.with_tiles(skewed, orders, "id", ordering.ntile_ranks(4), spread=True)
-    assert sorted(plain.collect()) == sorted(spread.collect())
+    plain = skewed.withColumns({name: F.ntile(4).over(Window.orderBy(by, "id")) for name, by in orders.items()})
+    tiles = ordering.with_tiles(skewed, orders, "id", ordering.ntile_ranks(4))
+    assert sorted(plain.collect()) == sorted(tiles.collect())
+
+
+def test_missing_values_come_last_in_both_directions(spark):
+    rows = [(i, None if i % 4 == 0 else float(i % 5)) for i in range(40)] + [(None, 2.0)]
+    df = spark.createDataFrame(rows, "id bigint, v double").repartition(3)
+    for by in (F.col("v"), -F.col("v")):
+        order = Window.orderBy(by.isNull(), by, F.col("id").isNull(), "id")
+        plain = df.withColumn("t", F.ntile(7).over(order))
+        tiles = ordering.with_tiles(df, {"t": by}, "id", ordering.ntile_ranks(7))
+        assert sorted(plain.collect(), key=str) == sorted(tiles.collect(), key=str)
+
+
+@pytest.mark.parametrize("copies", [1, 3, 10])
+@pytest.mark.parametrize("n", [1, 9, 10, 64])
+def test_counted_tiles_divide_repeated_rows_by_number(spark, n, copies):
+    rng = random.Random(n * copies)
+    rows = [(i, rng.choice([None, 1.0, 2.0, 3.0, 50.0])) for i in range(n)] * copies
+    df = spark.createDataFrame(rows, "id bigint, v double").repartition(4)
+    got = ordering.counted_tiles(df, "v", "id", {"odd": F.col("id") % 2}, ordering.ntile_ranks(4))
+    got = {r.tile: (r.n, r.total, r.odd) for r in got.groupBy("tile").agg(F.sum("rows").alias("n"), F.sum("total").alias("total"), F.sum("odd").alias("odd")).collect()}
+    ranked = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    wanted = {}
+    for (i, v), tile in zip(ranked, ntile(len(rows), 4)):
+        m, total, odd = wanted.get(tile, (0, None, 0))
+        wanted[tile] = (m + 1, total if v is None else (total or 0) + v, odd + i % 2)
+    assert got == wanted
+
+
+def test_unique_rows_make_a_tiebreak(spark):
+    df = spark.createDataFrame([(1, 5.0)] * 6 + [(None, 5.0)] * 3 + [(2, 7.0)], "id bigint, v double")
+    numbered, copy = ordering.unique_rows(df, "id")
+    tiles = ordering.with_tiles(numbered, {"t": F.col("v")}, copy, ordering.ntile_ranks(5))
+    assert sorted(r.t for r in tiles.collect()) == ntile(10, 5)
 
 
 def test_text_tiebreak(spark):
     rows = [(f"C{i:04d}", 7.0) for i in range(97)]
     df = spark.createDataFrame(rows, "id string, v double").repartition(3)
-    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.ntile_ranks(5), spread=True)
+    tiles = ordering.with_tiles(df, {"t": F.col("v")}, "id", ordering.ntile_ranks(5))
     assert [r.t for r in tiles.orderBy("id").collect()] == ntile(97, 5)
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_running_totals(skewed, spread):
+def test_running_totals(skewed):
     items = skewed.withColumn("one", F.lit(1).cast("bigint"))
-    out = ordering.running_totals(items, ["v", "id"], ["one", "v"], spread=spread).collect()
+    out = ordering.running_totals(items, ["v", "id"], ["one", "v"]).collect()
     ranked = sorted(enumerate(skewed_values(3000)), key=lambda r: (r[1], r[0]))
     total, expected = 0.0, {}
     for rank, (i, v) in enumerate(ranked, start=1):
@@ -91,11 +121,10 @@ def test_running_totals(skewed, spread):
     assert {r.id: (r.one_to, r.v_to, r.one_all, r.v_all) for r in out} == expected
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_running_totals_keep_a_missing_group(spark, spread):
+def test_running_totals_keep_a_missing_group(spark):
     rows = [("a", 1, 10), (None, 1, 5), (None, 2, 7), ("a", 2, 1)]
     items = spark.createDataFrame(rows, "g string, k int, m bigint")
-    out = ordering.running_totals(items, ["k"], ["m"], ["g"], spread=spread)
+    out = ordering.running_totals(items, ["k"], ["m"], ["g"])
     assert {(r.g, r.k): (r.m_to, r.m_all) for r in out.collect()} == {
         ("a", 1): (10, 11),
         ("a", 2): (11, 11),
@@ -104,10 +133,9 @@ def test_running_totals_keep_a_missing_group(spark, spread):
     }
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_percentiles_per_group(skewed, spread):
+def test_percentiles_per_group(skewed):
     qs = (0.0, 0.2, 0.25, 0.5, 0.75, 0.9, 1.0)
-    counted = ordering.value_counts(skewed, "v", ["g"], spread=spread)
+    counted = ordering.value_counts(skewed, "v", ["g"])
     got = {r.g: list(r.q) for r in counted.groupBy("g").agg(F.array(*[ordering.percentile(q) for q in qs]).alias("q")).collect()}
     by_group = {}
     for r in skewed.collect():
@@ -117,14 +145,6 @@ def test_percentiles_per_group(skewed, spread):
         assert got[g] == pytest.approx(list(np.quantile(values, qs)))
 
 
-def test_size_check(spark, monkeypatch):
-    df = spark.range(10)
-    assert not ordering.needs_spreading(df)
-    monkeypatch.setattr(ordering, "SMALL_ROWS", 9)
-    assert ordering.needs_spreading(df)
-    assert not ordering.needs_spreading(df, spread=False)
-
-
 def test_slices_are_even_despite_ties(skewed):
     """No slice holds much more than its share although a third of the rows tie."""
     buckets = ordering.bucket_count(skewed.sparkSession)

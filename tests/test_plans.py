@@ -29,11 +29,11 @@ def accounts(spark):
     return testbed.accounts(spark, SF_DIR)
 
 
-def report_plan(name, stored, accounts, spread=None) -> str:
-    return plan_of(reports.run(name, stored, accounts, spread=spread))
+def report_plan(name, stored, accounts) -> str:
+    return plan_of(reports.run(name, stored, accounts))
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.ledger_queries()))
 def test_no_cross_join_and_no_python_evaluation(spark, name):
     plan = plan_of(contract.queries()[name](spark, SF_DIR))
     assert not re.search("NestedLoop|Cartesian|EvalPython|InPandas|MapInArrow", plan)
@@ -41,7 +41,7 @@ def test_no_cross_join_and_no_python_evaluation(spark, name):
 
 @pytest.mark.parametrize("name", reports.RANKED)
 def test_spread_windows_over_rows_are_partitioned(name, stored, accounts):
-    plan = report_plan(name, stored, accounts, spread=True)
+    plan = report_plan(name, stored, accounts)
     for window in re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", plan):
         assert "_bucket" in window
     for window in re.findall(r"windowspecdefinition\(([^)]*)specifiedwindowframe\(RowFrame, unboundedpreceding\$\(\), currentrow", plan):
@@ -50,13 +50,13 @@ def test_spread_windows_over_rows_are_partitioned(name, stored, accounts):
 
 def test_tiers_do_not_shuffle_rows(stored, accounts):
     """Outside the key lookup, the tier report exchanges a row per tier only."""
-    plan = report_plan("value_tiers", stored, accounts, spread=True)
+    plan = report_plan("value_tiers", stored, accounts)
     main = plan.split("Subquery")[0]
     assert main.count("Exchange") == 2 and "Window [sum(value" in main
 
 
 def test_rank_lookup_reads_the_ledger_once(stored, accounts):
-    df = reports.run("value_deciles", stored, accounts, spread=True)
+    df = reports.run("value_deciles", stored, accounts)
     df.collect()
     final = plan_of(df)
     assert final.count("ReusedExchange") >= 3

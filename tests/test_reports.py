@@ -15,23 +15,20 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-@pytest.mark.parametrize(
-    ("name", "spread"), [(n, None) for n in reports.REPORTS] + [(n, True) for n in reports.RANKED]
-)
-def test_empty_ledger(name, spread, ledger_of, accounts_of):
+@pytest.mark.parametrize("name", list(reports.REPORTS))
+def test_empty_ledger(name, ledger_of, accounts_of):
     filled, one_account = ledger_of({}), accounts_of(ACCOUNT)
     expected = reports.run(name, filled, one_account).columns
-    got = reports.run(name, ledger_of({}).limit(0), one_account.limit(0), spread=spread)
+    got = reports.run(name, ledger_of({}).limit(0), one_account.limit(0))
     assert got.columns == expected
     assert len(got.collect()) <= 60
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_one_customer_one_transaction(spread, ledger_of, accounts_of):
+def test_one_customer_one_transaction(ledger_of, accounts_of):
     ledger, accounts = ledger_of({"amount": 250.0}), accounts_of(ACCOUNT)
 
     def run(name):
-        return rows(reports.run(name, ledger, accounts, spread=spread))
+        return rows(reports.run(name, ledger, accounts))
 
     assert run("value_deciles") == [{"decile": 1, "customers": 1, "total_value": 250.0, "pct_of_total_value": 100.0}]
     assert [(r["r_score"], r["f_score"], r["m_score"]) for r in run("customer_rfm")] == [(1, 1, 1)]
@@ -88,9 +85,8 @@ def test_missing_category_is_kept_in_sql_reports_and_dropped_in_frame_reports(le
     assert {r["channel"] for r in rows(rates.channel_rates(ledger))} == {None, "Web"}
     assert {r["channel"] for r in rows(rates.failure_rate_by_channel(ledger))} == {"Web"}
     typed = ledger_of({"txn_type": None, "amount": 4.0}, {"txn_type": None, "amount": 6.0}, {"amount": 1.0})
-    for spread in (False, True):
-        got = {r["txn_type"]: r["median_value"] for r in rows(rates.type_value_skew(typed, spread=spread))}
-        assert got == {None: 5.0, "Transfer": 1.0}
+    got = {r["txn_type"]: r["median_value"] for r in rows(rates.type_value_skew(typed))}
+    assert got == {None: 5.0, "Transfer": 1.0}
 
 
 def test_value_columns_without_a_match(ledger_of, accounts_of):
@@ -195,14 +191,13 @@ def test_correlation_with_a_constant_column_is_null(ledger_of, accounts_of, spar
     assert got[("a", "a")] == 1.0 and got[("a", "c")] == got[("c", "a")] == 0.993399
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_quintile_edges_that_coincide(spread, ledger_of, accounts_of):
+def test_quintile_edges_that_coincide(ledger_of, accounts_of):
     ledger = ledger_of(*[{"customer_id": c, "amount": float(c)} for c in range(1, 7)])
     accounts = accounts_of(*[(c, "SME", "Active", "Web") for c in range(1, 7)])
     model = customers.customer_model(ledger, accounts)
     with pytest.raises(Exception, match="quintile edges coincide"):
-        rfm.rfm_quintiles(model, spread=spread).collect()
-    kept = rfm.rfm_quintiles(model, on_duplicate="keep", spread=spread).orderBy("customer_id").collect()
+        rfm.rfm_quintiles(model).collect()
+    kept = rfm.rfm_quintiles(model, on_duplicate="keep").orderBy("customer_id").collect()
     assert [r.m_score for r in kept] == [1, 1, 2, 3, 4, 5]
     assert {r.f_score for r in kept} == {1}
     with pytest.raises(ValueError):
@@ -233,10 +228,9 @@ def test_single_amount_histogram(ledger_of):
 def test_box_whiskers_leave_fliers_out(ledger_of):
     amounts = [1.0, 2.0, 3.0, 4.0, 100.0]
     ledger = ledger_of(*[{"amount": a} for a in amounts])
-    for spread in (False, True):
-        got = rows(statistics.box_stats(ledger, spread=spread))[0]
-        assert (got["q1"], got["median"], got["q3"]) == (2.0, 3.0, 4.0)
-        assert (got["whisker_low"], got["whisker_high"]) == (1.0, 4.0)
+    got = rows(statistics.box_stats(ledger))[0]
+    assert (got["q1"], got["median"], got["q3"]) == (2.0, 3.0, 4.0)
+    assert (got["whisker_low"], got["whisker_high"]) == (1.0, 4.0)
 
 
 def test_reconcile_reports_every_kind_of_difference(spark):
@@ -257,11 +251,10 @@ def test_reconcile_reports_every_kind_of_difference(spark):
 
 def test_cumulative_curve_ends_at_everything(ledger_of):
     ledger = ledger_of(*[{"customer_id": c, "amount": float(10 * c)} for c in (1, 2, 3, 4)])
-    for spread in (False, True):
-        curve = concentration.cumulative_value_curve(ledger, spread=spread).orderBy("customer_rank")
-        assert [(r.customer_id, r.pct_customers, r.cumulative_value_pct) for r in curve.collect()] == [
-            (4, 25.0, 40.0),
-            (3, 50.0, 70.0),
-            (2, 75.0, 90.0),
-            (1, 100.0, 100.0),
-        ]
+    curve = concentration.cumulative_value_curve(ledger).orderBy("customer_rank")
+    assert [(r.customer_id, r.pct_customers, r.cumulative_value_pct) for r in curve.collect()] == [
+        (4, 25.0, 40.0),
+        (3, 50.0, 70.0),
+        (2, 75.0, 90.0),
+        (1, 100.0, 100.0),
+    ]
