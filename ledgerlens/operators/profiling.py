@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.exprs import ratio, round_to, row_count
-from ledgerlens.plans.ordering import percentile, value_counts
+from ledgerlens.functions.exprs import round_to, row_count
+from ledgerlens.plans.ordering import exact_percentiles
 
 
 def relationship_check(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -76,22 +76,27 @@ def profile_describe(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns]
     )
-    values = value_counts(df.select(F.inline(pairs)), "x", ["column_name"])
-    rows = F.col("rows").cast("double")
-    away = F.col("value") - ratio(F.col("total_all"), F.col("rows_all"))
-    n = F.sum(rows)
-    deviation = F.when(n > 1, F.sqrt(ratio(F.sum(rows * away * away), n - 1)))
+    long = df.select(F.inline(pairs)).filter(F.col("x").isNotNull())
+    sums = long.groupBy("column_name").agg(
+        row_count().alias("count"),
+        F.avg("x").alias("mean"),
+        F.when(row_count() > 1, F.stddev_samp("x")).alias("std"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+    )
+    quartiles = exact_percentiles(long, "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"])
     return (
-        values.groupBy("column_name")
-        .agg(
-            F.sum("rows").alias("count"),
-            round_to(ratio(F.sum("total"), n), 4).alias("mean"),
-            round_to(deviation, 4).alias("std"),
-            F.min("value").alias("min"),
-            percentile(0.25).alias("p25"),
-            percentile(0.5).alias("p50"),
-            percentile(0.75).alias("p75"),
-            F.max("value").alias("max"),
+        sums.join(quartiles, "column_name")
+        .select(
+            "column_name",
+            "count",
+            round_to(F.col("mean"), 4).alias("mean"),
+            round_to(F.col("std"), 4).alias("std"),
+            "min",
+            "p25",
+            "p50",
+            "p75",
+            "max",
         )
         .orderBy("column_name")
     )

@@ -24,7 +24,7 @@ from ledgerlens.functions.exprs import (
     row_count,
     successful,
 )
-from ledgerlens.plans.ordering import percentile, value_counts
+from ledgerlens.plans.ordering import exact_percentiles
 
 
 def total_over_categories(column: str | Column) -> Column:
@@ -64,21 +64,19 @@ def status_share(ledger: DataFrame, key: str = "status") -> DataFrame:
 
 
 def type_value_skew(ledger: DataFrame, by: str = "txn_type") -> DataFrame:
-    """Successful value per type with mean against exact median; rows without an amount count as rows only."""
+    """Successful value per type with mean against exact median."""
     paid = ledger.filter(successful())
-    missing = paid.filter(F.col("amount").isNull()).groupBy(by).agg(row_count().alias("rows"))
-    values = value_counts(paid, "amount", [by]).unionByName(missing, allowMissingColumns=True)
-    total, counted = F.sum("total"), F.sum(F.when(F.col("value").isNotNull(), F.col("rows")))
-    return (
-        values.groupBy(by)
-        .agg(
-            F.sum("rows").alias("txn_count"),
-            round_to(total, 0).alias("total_value"),
-            round_to(ratio(total, counted), 0).alias("avg_value"),
-            round_to(percentile(0.5), 0).alias("median_value"),
-        )
-        .orderBy(F.desc("total_value"), by)
-    )
+    medians = exact_percentiles(paid, "amount", {"median": 0.5}, [by])
+    total = F.sum("amount")
+    sums = paid.groupBy(by).agg(row_count().alias("txn_count"), total.alias("total"), F.count("amount").alias("counted"))
+    joined = sums.join(medians.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(
+        by,
+        "txn_count",
+        round_to(F.col("total"), 0).alias("total_value"),
+        round_to(ratio(F.col("total"), F.col("counted")), 0).alias("avg_value"),
+        round_to(F.col("median"), 0).alias("median_value"),
+    ).orderBy(F.desc("total_value"), by)
 
 
 def channel_rates(ledger: DataFrame, by: str = "channel") -> DataFrame:

@@ -145,6 +145,23 @@ def test_percentiles_per_group(skewed):
         assert got[g] == pytest.approx(list(np.quantile(values, qs)))
 
 
+def test_refined_percentiles_are_exact(spark, skewed):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, -3.5, 0.0, rng.uniform(-1e6, 1e6), rng.expovariate(1e-3)])) for _ in range(900)]
+    df = spark.createDataFrame(rows + [("one", 7.0), ("none", None)], "g string, v double").repartition(4)
+    qs = {"q0": 0.0, "q1": 0.1, "q2": 0.25, "q5": 0.5, "q9": 0.93, "q10": 1.0}
+    got = {r.g: [r[q] for q in qs] for r in ordering.exact_percentiles(df, "v", qs, ["g"]).collect()}
+    groups = {}
+    for g, v in [*rows, ("one", 7.0)]:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(values, list(qs.values()))))
+    assert ordering.exact_percentiles(df.limit(0), "v", qs, ["g"]).count() == 0
+    assert list(ordering.exact_percentiles(df.limit(0), "v", qs).first()) == [None] * len(qs)
+
+
 def test_slices_are_even_despite_ties(skewed):
     """No slice holds much more than its share although a third of the rows tie."""
     buckets = ordering.bucket_count(skewed.sparkSession)
