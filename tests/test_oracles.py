@@ -17,7 +17,16 @@ def test_every_query_has_sql():
     assert contract.ledger_queries().keys() <= contract.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", list(contract.ledger_queries()))
+NAMES = [n for n in contract.ledger_queries() if not n.endswith(contract.SPREAD_SUFFIX)]
+
+
+def test_second_names_are_the_same_queries():
+    queries = contract.ledger_queries()
+    for name in queries.keys() - set(NAMES):
+        assert queries[name] is queries[name.removesuffix(contract.SPREAD_SUFFIX)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, con, name):
     assert check_oracles.compare(spark, con, name, SF_DIR) is None
 

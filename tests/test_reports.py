@@ -258,3 +258,56 @@ def test_cumulative_curve_ends_at_everything(ledger_of):
         (2, 75.0, 90.0),
         (1, 100.0, 100.0),
     ]
+
+
+def test_tiers_divide_repeated_rows(ledger_of):
+    """Ten copies of each of ten transactions: tiers hold 1, 4, 15 and 80 of the hundred rows."""
+    ledger = ledger_of(*[{"txn_id": i, "amount": float(i)} for i in range(1, 11)] * 10)
+    got = rows(concentration.value_tiers(ledger))
+    assert [(r["txn_count"], r["total_value"], r["min_amount"]) for r in got] == [
+        (1, 10.0, 10.0),
+        (4, 40.0, 10.0),
+        (15, 140.0, 9.0),
+        (80, 360.0, 1.0),
+    ]
+
+
+def test_missing_amounts_rank_last(ledger_of):
+    ledger = ledger_of(*[{"customer_id": c, "amount": None if c == 1 else float(c)} for c in range(1, 11)])
+    deciles = rows(concentration.value_deciles(ledger))
+    assert deciles[0]["total_value"] == 10.0 and deciles[9]["total_value"] is None
+    scores = {r["customer_id"]: r["m_score"] for r in rows(rfm.customer_rfm(ledger))}
+    assert scores[1] == 4 and scores[2] == 1
+    curve = {r["customer_id"]: r for r in rows(concentration.cumulative_value_curve(ledger))}
+    assert curve[1]["customer_rank"] == 10 and curve[1]["cumulative_value_pct"] == 100.0
+    top = rows(concentration.value_tiers(ledger_of(*[{"amount": None if i < 2 else float(i)} for i in range(100)])))[0]
+    assert (top["txn_count"], top["total_value"]) == (1, 99.0)
+
+
+def test_transactions_without_a_time_have_no_gap(ledger_of):
+    day = dt.datetime(2026, 2, 1, 23, 50)
+    times = [day, day + dt.timedelta(minutes=20), None, None, day + dt.timedelta(days=9), day + dt.timedelta(days=9)]
+    ledger = ledger_of(*[{"txn_ts": t, "risk_flag": "Yes" if t is None else "No"} for t in times])
+    got = {r["gap_since_previous"]: (r["txn_count"], r["review_rate_pct"]) for r in rows(sequence.gap_since_previous(ledger))}
+    assert got == {
+        "0: first transaction": (3, 66.67),
+        "1: within 1 hour": (2, 0.0),
+        "4: over 7 days": (1, 0.0),
+    }
+
+
+def test_many_categories_in_the_chi_square_test(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    cells = [(f"r{i}", f"c{j}") for i, j in rng.integers(0, 3_000, size=(20_000, 2))]
+    df = spark.createDataFrame(cells, "international string, risk_flag string").repartition(4)
+    got = rows(statistics.chi_square_independence(df))[0]
+    observed, row_total, column_total = {}, {}, {}
+    for r, c in cells:
+        observed[r, c] = observed.get((r, c), 0) + 1
+        row_total[r] = row_total.get(r, 0) + 1
+        column_total[c] = column_total.get(c, 0) + 1
+    fit = sum(n * n / (row_total[r] * column_total[c]) for (r, c), n in observed.items())
+    assert got["dof"] == (len(row_total) - 1) * (len(column_total) - 1)
+    assert got["chi2"] == pytest.approx(len(cells) * (fit - 1), rel=1e-9)

@@ -89,3 +89,16 @@ def test_save_by_month_prunes(spark, tmp_path, ledger_of):
 def test_register_views(spark, ledger_of, accounts_of):
     tables.register_views(ledger_of({}, {}), accounts_of((1, "SME", "Active", "Web")))
     assert spark.sql("select count(*) from transactions join customers using (customer_id)").first()[0] == 2
+
+
+def test_storing_one_month_leaves_the_others(spark, tmp_path, ledger_of):
+    path = str(tmp_path / "ledger")
+    tables.save_by_month(ledger_of({"txn_ts": dt.datetime(2026, 1, 5)}, {"txn_ts": dt.datetime(2026, 2, 5)}), path)
+    tables.save_by_month(ledger_of({"txn_ts": dt.datetime(2026, 2, 6), "amount": 7.0}), path)
+    stored = spark.read.parquet(path).orderBy("txn_ts").collect()
+    assert [(r.txn_ts.month, r.amount) for r in stored] == [(1, 100.0), (2, 7.0)]
+
+
+def test_quartile_model_is_a_view(spark, ledger_of, accounts_of):
+    tables.register_views(ledger_of({}), accounts_of((1, "SME", "Active", "Web")))
+    assert spark.sql("select rfm_segment, count(*) as n from customer_rfm group by 1").first().n == 1
