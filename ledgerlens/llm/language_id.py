@@ -270,7 +270,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             cuts.append((at, at + size))
             at += size
     affixes, triples, holds = affix_buckets(words), gram_buckets(words), model.holds(words)
-    spread = {name: np.full_like(x, 1e-8, dtype=np.float64) for name, x in (("w", model.weights), ("t", model.transitions), ("l", model.lexicon_weights))}
+    learned = {"w": model.weights, "t": model.transitions, "l": model.lexicon_weights}
+    spread = {name: np.full_like(x, 1e-8, dtype=np.float64) for name, x in learned.items()}
 
     def move(x, name, gradient):
         gradient = gradient - DECAY * x * len(label) / BATCHES

@@ -256,5 +256,6 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     out = rows(stay.where("count = 1"))
     repeated = stay.where("count > 1")
     if repeated.head(1):
-        out = out.union(rows(repeated).withColumn("_version", _version("text")).dropDuplicates(["doc_id", "_version"]).drop("_version"))
+        copies = rows(repeated).withColumn("_version", _version("text"))
+        out = out.union(copies.dropDuplicates(["doc_id", "_version"]).drop("_version"))
     return out

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ledgerlens.llm import license_scan, registry, sharding, warc
+from ledgerlens.llm import license_scan, sharding, warc
 from ledgerlens.llm.support import ready
 
 
