@@ -43,9 +43,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.records(table(spark, sf_dir, "pages"))
+    archive = warc.records(table(ready(spark), sf_dir, "pages"))
     files = warc.file_count(archive.count())
-    return warc.audit(warc.manifest(archive, files), warc.manifest(warc.damaged(archive), files))
+    folder = f"{shared_folder(spark)}/llm/warc-{uuid.uuid4().hex}"
+    warc.write_warc(archive, files, f"{folder}/ours")
+    warc.write_warc(warc.damaged(archive), files, f"{folder}/theirs")
+    return warc.audit(warc.read_manifest(spark, f"{folder}/ours"), warc.read_manifest(spark, f"{folder}/theirs"))
 
 
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

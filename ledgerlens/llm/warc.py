@@ -6,14 +6,19 @@ and a node covers the byte range from its first record's offset to its last reco
 compared root by root; only the children of differing nodes are compared on the next level down, until the
 differing records are found with their offsets.
 
-Scale. Records are hashed where they are read; only digests and lengths are shuffled. A file is bounded by
-its number of records, so its window of running offsets is too; nodes have FANOUT children. The trees are
-tables in the shared folder, and the descent joins only nodes under differing ones.
+The query writes both replicas as files and takes their manifests from the files' bytes. The reader goes by
+Content-Length; where no blank lines follow there, a record is damaged and ends before the next head, so that
+the records after it are found. Heads are known by their version or by their type and id.
+
+Scale. Writing shuffles the records once a replica; a file is read as one row. Records are hashed where they
+are read, and only digests and lengths are shuffled then. Nodes have FANOUT children. The trees are tables in
+the shared folder, and the descent joins only nodes under differing ones.
 
 Edge cases. A null url or body is empty, a null page_id counts as -1. Rows that share a page_id are
 records of their own, told apart by their order of digests. A lost or added record shifts the ranges after
 it; records are therefore matched by page_id inside differing ranges, so unchanged ones are not reported.
-Extra columns are ignored. An empty replica loses every record; two empty ones give no rows."""
+Extra columns are ignored. A record whose id cannot be read counts as page -1. A record cut short whose body
+holds a whole head is taken as two. An empty replica loses every record; two empty ones give no rows."""
 
 from __future__ import annotations
 
@@ -30,7 +35,13 @@ from ledgerlens.llm.support import settle
 FILE_ROWS = 2_000
 FANOUT = 16
 DATE = "2024-01-01T00:00:00Z"
-_HEAD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
+_BLANK = b"\r\n\r\n"
+_SIZE = re.compile(rb"(?im)^Content-Length: *(\d{1,15})")
+_ID = re.compile(rb"(?m)^WARC-Record-ID: <urn:page:(-?\d{1,19})>")
+# Blank lines before a head, of which the version or the first two fields are whole.
+_NEXT = re.compile(
+    rb"\r\n\r\n(?=WARC/1\.1\r\n[A-Za-z-]+: |[^\r\n]{0,16}\r\nWARC-Type: [^\r\n]*\r\nWARC-Record-ID: <urn:page:)"
+)
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -127,28 +138,70 @@ def write_warc(archive: DataFrame, files: int, path: str) -> None:
     placed.select("file", F.col("record").alias("value")).write.partitionBy("file").option("lineSep", "\r\n\r\n").text(path)
 
 
+def _record_end(content: bytes, at: int) -> int:
+    """Where the record at `at` ends: by its Content-Length if blank lines follow there, else at the next head."""
+    blank = content.find(_BLANK, at)
+    sizes = _SIZE.findall(content, at, blank) if blank >= 0 else []
+    if sizes:
+        end = blank + 4 + int(sizes[-1])
+        framed = content[end : end + 4] == _BLANK
+        if framed and (end + 4 == len(content) or _NEXT.match(content, end) or not _NEXT.search(content, at, end)):
+            return end
+    if found := _NEXT.search(content, at):
+        return found.start()
+    return max(at, len(content) - 4) if content.endswith(_BLANK) else len(content)
+
+
 def parse_warc(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each record, cut by its Content-Length; a damaged head ends the file."""
+    """(offset, record) of each record; after a damaged one it resumes at the next head."""
     at = 0
-    while at < len(content) and (head := _HEAD.match(content, at)):
-        size = re.search(rb"(?im)^Content-Length: *(\d+)", head[1])
-        end = head.end() + int(size[1]) if size else head.end()
+    while at < len(content):
+        end = _record_end(content, at)
         yield at, content[at:end]
         at = end + 4
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and record of every record of an archive written by write_warc, file by file."""
+def _page_id(record: bytes) -> int:
+    found = _ID.search(record, 0, max(record.find(_BLANK), 0) or len(record))
+    page_id = int(found[1]) if found else -1
+    return page_id if -(1 << 63) <= page_id < 1 << 63 else -1
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, seq, page_id, offset and record (raw bytes) of every record of an archive written by write_warc."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = [r.decode("utf-8", "replace") for _, r in parse_warc(bytes(content))]
-                ids = [int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", r)) else -1 for r in rows]
-                yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"), "record": pd.Series(rows, dtype=object)})
+            for file, content in zip(batch["file"], batch["content"]):
+                offsets, rows = zip(*parse_warc(bytes(content)), strict=True) if len(content) else ((), ())
+                yield pd.DataFrame(
+                    {
+                        "file": pd.Series([file] * len(rows), dtype="int32"),
+                        "seq": pd.Series(range(len(rows)), dtype="int32"),
+                        "page_id": pd.Series([_page_id(r) for r in rows], dtype="int64"),
+                        "offset": pd.Series(offsets, dtype="int64"),
+                        "record": pd.Series(rows, dtype=object),
+                    }
+                )
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.regexp_extract("path", r"/file=(\d+)/[^/]*$", 1).cast("int").alias("file"), "content")
+    return files.mapInPandas(parsed, "file int, seq int, page_id long, offset long, record binary")
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInPandas(parsed, "page_id long, record string")
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """page_id and record (as text) of every record of an archive written by write_warc."""
+    return read_records(spark, path).select("page_id", F.col("record").cast("string"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of the files of an archive, with digests of their bytes and their offsets."""
+    rows = read_records(spark, path).withColumn("digest", F.sha2("record", 256))
+    copies = Window.partitionBy("file", "page_id").orderBy("digest")
+    return rows.select(
+        "file", "seq", "page_id", F.row_number().over(copies).alias("copy"), "offset",
+        (F.octet_length("record") + 4).cast("long").alias("length"), "digest",
+    )
 
 
 # The query's second replica: some pages are altered, some cut short, some lost.

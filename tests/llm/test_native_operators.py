@@ -129,6 +129,40 @@ def test_audit_odd_pages(spark):
     assert [r.status for r in warc.audit(ours, none).collect()] == ["missing"] * 5
 
 
+def test_damaged_files_are_read_to_their_end(spark, tmp_path):
+    archive = warc.records(pages_of(spark, 700))
+    for name, replica in (("a", archive), ("b", warc.damaged(archive))):
+        warc.write_warc(replica, 3, str(tmp_path / name))
+    ours, theirs = (warc.read_manifest(spark, str(tmp_path / name)) for name in "ab")
+    for read, wanted in ((ours, archive), (theirs, warc.damaged(archive))):
+        wanted = warc.manifest(wanted, 3)
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, wanted.select(read.columns).collect()))
+    found = {r.page_id: r.status for r in warc.audit(ours, theirs).collect()}
+    assert found[7] == found[11] == "altered" and found[13] == "missing" and 700 // 97 < len(found) < 30
+    warc.write_warc(archive.where("false"), 3, str(tmp_path / "none"))
+    assert warc.read_manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_reader_keeps_bytes_and_resumes():
+    def record(i, body):
+        head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body
+
+    whole = [record(i, b"\xff\xfe " + b"y" * i + b"\r\n\r\nWARC/1.1\r\n") for i in range(30)]
+    damaged = list(whole)
+    damaged[0] = b"\xff" + whole[0][1:]
+    damaged[4] = whole[4][:-11]  # the next one's head is damaged as well
+    damaged[5] = b"X" + whole[5][1:]
+    damaged[9] = whole[9][:40]
+    damaged[12] = whole[12] + b"more"
+    damaged[29] = whole[29][:-5]
+    for rows in (whole, damaged):
+        content = b"".join(r + b"\r\n\r\n" for r in rows)
+        found = list(warc.parse_warc(content))
+        assert [r for _, r in found] == rows and all(content[at : at + len(r)] == r for at, r in found)
+    assert list(warc.parse_warc(b"no head at all")) == [(0, b"no head at all")] and not list(warc.parse_warc(b""))
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_sharding", "op4_warc_fixity"])
 def test_queries_equal_their_sql(spark, name):
     from check_oracles import compare, connect
