@@ -15,8 +15,9 @@ are read, and only digests and lengths are shuffled then. Nodes have FANOUT chil
 the shared folder, and the descent joins only nodes under differing ones.
 
 Edge cases. A null url or body is empty, a null page_id counts as -1. Rows that share a page_id are
-records of their own, told apart by their order of digests. A lost or added record shifts the ranges after
-it; records are therefore matched by page_id inside differing ranges, so unchanged ones are not reported.
+records of their own. A lost or added record shifts the ranges after it; the pages in differing ranges are
+therefore matched whole, by how often each replica holds a digest, so unchanged ones are not reported. Of equal
+records the last of the file count as lost or added; what remains of a page is paired by its order of digests.
 Extra columns are ignored. A record whose id cannot be read counts as page -1. A record cut short whose body
 holds a whole head is taken as two. An empty replica loses every record; two empty ones give no rows."""
 
@@ -61,7 +62,7 @@ def file_count(rows: int, file_rows: int = FILE_ROWS) -> int:
 
 
 def manifest(archive: DataFrame, files: int) -> DataFrame:
-    """file, seq, page_id, copy, offset, length, digest of each record (page_id, record)."""
+    """file, seq, page_id, offset, length, digest of each record (page_id, record)."""
     size = F.octet_length("record") + 4  # the blank lines that end a record
     hashed = archive.select(
         "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("digest"), size.cast("long").alias("length")
@@ -69,11 +70,9 @@ def manifest(archive: DataFrame, files: int) -> DataFrame:
     hashed = hashed.withColumn("file", F.pmod("page_id", F.lit(files)).cast("int"))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    copies = Window.partitionBy("file", "page_id").orderBy("digest")
     return hashed.select(
-        "file", (F.row_number().over(order) - 1).alias("seq"), "page_id", F.row_number().over(copies).alias("copy"),
-        before.alias("offset"), "length", "digest",
-    )
+        "file", (F.row_number().over(order) - 1).alias("seq"), "page_id", before.alias("offset"), "length", "digest"
+    )
 
 
 def node_level(below: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -117,12 +116,21 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame
         wrong = settle(differing(*here), "nodes")
     leaf = F.floor(F.col("seq") / fanout).cast("int")
     up = wrong.select("file", F.col("node").alias("parent"))
-    key = ["file", "page_id", "copy"]
+    key, record = ["file", "page_id"], ["file", "page_id", "digest"]
+    touched = [m.withColumn("parent", leaf).join(up, ["file", "parent"], "left_semi").select(*key) for m in (ours, theirs)]
+    touched = settle(touched[0].union(touched[1]).distinct(), "pages")
+    # All records of those pages: a run of equal digests may lie in equal nodes with both ends outside.
+    whole = [m.join(touched, key, "left_semi") for m in (ours, theirs)]
+    counts = [m.groupBy(*record).agg(F.count("*").alias(n)) for m, n in zip(whole, ("a", "b"))]
+    common = counts[0].join(counts[1], record, "full").na.fill(0, ["a", "b"]).where("a <> b")
+    common = settle(common.select(*record, F.least("a", "b").alias("common")), "counts")
     sides = []
-    for side, rows in (("", ours), ("replica_", theirs)):
-        rows = rows.withColumn("parent", leaf).join(up, ["file", "parent"], "left_semi")
-        sides.append(rows.select(*key, *[F.col(c).alias(side + c) for c in ("offset", "length", "digest")]))
-    joined = sides[0].join(sides[1], key, "full").where("not (digest <=> replica_digest)")
+    for side, rows in zip(("", "replica_"), whole):
+        equal, others = Window.partitionBy(*record).orderBy("seq"), Window.partitionBy(*key).orderBy("digest", "seq")
+        rows = rows.join(common, record).withColumn("n", F.row_number().over(equal)).where("n > common")
+        rows = rows.withColumn("copy", F.row_number().over(others))
+        sides.append(rows.select(*key, "copy", *[F.col(c).alias(side + c) for c in ("offset", "length", "digest")]))
+    joined = sides[0].join(sides[1], [*key, "copy"], "full")
     status = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("altered")
     return joined.select(
         "file", "page_id", status.alias("status"), "offset", "length", "digest",
@@ -197,11 +205,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest of the files of an archive, with digests of their bytes and their offsets."""
     rows = read_records(spark, path).withColumn("digest", F.sha2("record", 256))
-    copies = Window.partitionBy("file", "page_id").orderBy("digest")
-    return rows.select(
-        "file", "seq", "page_id", F.row_number().over(copies).alias("copy"), "offset",
-        (F.octet_length("record") + 4).cast("long").alias("length"), "digest",
-    )
+    length = (F.octet_length("record") + 4).cast("long").alias("length")
+    return rows.select("file", "seq", "page_id", "offset", length, "digest")
 
 
 # The query's second replica: some pages are altered, some cut short, some lost.

@@ -129,6 +129,23 @@ def test_audit_odd_pages(spark):
     assert [r.status for r in warc.audit(ours, none).collect()] == ["missing"] * 5
 
 
+def test_run_of_copies_after_a_lost_record(spark):
+    rows = [(i, f"u{i}", "body") for i in range(1, 11)] + [(50, "u", "same")] * 100 + [(60 + i, "v", "x") for i in range(20)]
+    schema = "page_id long, url string, html string"
+    whole = warc.records(ready(spark).createDataFrame(rows, schema))
+    ours = warc.manifest(whole, 1)
+
+    def found(replica):
+        theirs = warc.manifest(warc.records(ready(spark).createDataFrame(replica, schema)), 1)
+        return sorted((r.page_id, r.status) for r in warc.audit(ours, theirs).collect())
+
+    assert found(rows[1:]) == [(1, "missing")]
+    assert found([(0, "u", "new"), *rows]) == [(0, "extra")]
+    assert found(rows[1:60] + rows[61:]) == [(1, "missing"), (50, "missing")]
+    assert found([*rows[1:], rows[50]]) == [(1, "missing"), (50, "extra")]
+    assert found([*rows[1:60], *rows[62:], (50, "u", "other")]) == [(1, "missing"), (50, "altered"), (50, "missing")]
+
+
 def test_damaged_files_are_read_to_their_end(spark, tmp_path):
     archive = warc.records(pages_of(spark, 700))
     for name, replica in (("a", archive), ("b", warc.damaged(archive))):
