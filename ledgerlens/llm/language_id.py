@@ -6,6 +6,11 @@ its edges, and which languages' lexicons hold it. Learned transition weights sco
 Forward-backward gives each word's label probabilities; a text's language is the one with the largest mean
 probability over all its words, and that mean is the score.
 
+Whether a text is in any learned language is another question: a word is known if a lexicon holds it or training
+texts hold all its letter groups, and the share of known words does not depend on the number of languages or on
+how evenly a text mixes them. The least share is calibrated on the training texts, each left out of the others,
+and is lower for short texts by CHANCE standard deviations of the share.
+
 Training takes a bounded sample of labelled texts (`sample_docs`, texts of at most `sample_chars`
 characters, chosen by a hash of the id) on the driver; everything else runs over whole texts in tasks.
 Labels of words are those of their text; segments of texts in different languages are strung together so
@@ -42,6 +47,10 @@ EPOCHS = 3
 BATCHES = 10
 RATE = 0.3
 DECAY = 1e-5
+CALIBRATED = 0.95
+UNKNOWN_MARGIN = 2
+LEAST_UNKNOWN = 0.005
+CHANCE = 4  # standard deviations by which the words of a short text may miss the share
 _CHARS_AT_ONCE = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX32, _STEP = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
@@ -146,6 +155,14 @@ class Model:
     lexicon: np.ndarray  # sorted word hashes
     holders: np.ndarray  # languages x words: which lexicon holds the word
     lexicon_weights: np.ndarray  # languages x languages
+    seen: np.ndarray  # buckets of letter groups in training texts
+    unknown_rate: float = 1.0  # calibrated share of unknown words that texts in learned languages may have
+
+    def known(self, words: Words) -> np.ndarray:
+        """Whether a lexicon holds each word, or training texts hold all its letter groups."""
+        if not len(words.start):
+            return np.zeros(0, bool)
+        return (_sums((~self.seen)[gram_buckets(words)].astype(np.int64), words) == 0) | self.holds(words).any(axis=1)
 
     def holds(self, words: Words) -> np.ndarray:
         """words x languages: 1 where the language's lexicon holds the word."""
@@ -239,6 +256,24 @@ def marginals(scores: np.ndarray, text: np.ndarray, transitions: np.ndarray) ->
     return out, moves
 
 
+def _familiar(words: Words, texts: list[str]) -> tuple[np.ndarray, float]:
+    """The buckets of the texts' letter groups, and the share of unknown words that a text in their
+    languages may have: UNKNOWN_MARGIN times what CALIBRATED of the texts keep when left out of the others."""
+    if not len(words.start):
+        return np.zeros(1 << BUCKET_BITS, bool), 1.0
+    grams, size = gram_buckets(words), words.length + 1  # the letters and the mark after them
+    at = np.arange(size.sum()) + np.repeat(words.start - (np.cumsum(size) - size), size)
+    copy = {t: i for i, t in reversed(list(enumerate(texts)))}  # equal texts count as one
+    text = np.array([copy[t] for t in texts])[words.text]
+    pairs = np.unique(np.repeat(text, size) << BUCKET_BITS | grams[at])
+    held = np.bincount(pairs & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
+    elsewhere = _sums((held < 2)[grams].astype(np.int64), words) == 0
+    count = np.bincount(words.text)
+    share = np.bincount(words.text, elsewhere)[count > 0] / count[count > 0]
+    rate = max(1 - float(np.quantile(share, 1 - CALIBRATED)), LEAST_UNKNOWN)
+    return held > 0, min(1.0, UNKNOWN_MARGIN * rate)
+
+
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Fit the field by AdaGrad on the conditional log-likelihood of word labels."""
     languages = sorted(set(labels))
@@ -257,7 +292,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         top = top[(counts[top, j] >= LEXICON_MIN_COUNT) & (rates[top, j] * 2 > rates[top].sum(axis=1))]
         holders[top, j] = 1
     held = holders.any(axis=1)
-    model = Model(languages, np.zeros((k, 1 << BUCKET_BITS), np.float32), np.zeros((k, k)), names[held], holders[held], np.zeros((k, k), np.float32))
+    model = Model(languages, np.zeros((k, 1 << BUCKET_BITS), np.float32), np.zeros((k, k)), names[held], holders[held], np.zeros((k, k), np.float32), *_familiar(words, texts))
     if k < 2 or not len(label):
         return model
     # Segments of 4 to 60 words, strung together across languages in a fixed random order.
@@ -363,6 +398,19 @@ def text_languages(model: Model, texts: list[str | None]) -> tuple[list[str], li
     return names, best
 
 
+def known_shares(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each text's words that the model knows (0 without words), and the least share that texts in
+    learned languages have at their number of words."""
+    shares, sizes = [], []
+    for _, part in _in_parts(texts):
+        words = find_words(part)
+        count = np.bincount(words.text, minlength=len(part))
+        shares += (np.bincount(words.text, model.known(words), len(part)) / np.maximum(count, 1)).tolist()
+        sizes += np.maximum(count, 1).tolist()
+    rate, size = model.unknown_rate, np.array(sizes, np.int64)
+    return np.array(shares), 1 - rate - CHANCE * np.sqrt(rate * (1 - rate) / size)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score, one row per row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the buckets and the sample
@@ -376,16 +424,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
-    """The rows of docs in a learned language with at least min_score; columns unchanged."""
+def keep_known(docs: DataFrame, model: Model, min_known: float | None = None) -> DataFrame:
+    """The rows of docs in learned languages: at least min_known of their words are known (by default the
+    calibrated share at the text's number of words); columns unchanged."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    learned = bool(model.languages)
 
     def kept(batches):
         import pyarrow as pa
 
         for batch in batches:
-            names, scores = text_languages(sent.value, batch.column("text").to_pylist())
-            keep = [n != UNKNOWN and s >= min_score for n, s in zip(names, scores)]
+            shares, least = known_shares(sent.value, batch.column("text").to_pylist())
+            keep = learned & (shares > 0) & (shares >= (least if min_known is None else min_known))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

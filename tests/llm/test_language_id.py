@@ -96,3 +96,21 @@ def test_runs_of_words_cover_the_text(docs_of):
 def test_places_stay_where_lower_case_is_longer():
     words = lid.find_words(["İİ ab", None, "ç"])
     assert words.offset.tolist() == [0, 3, 0] and words.text.tolist() == [0, 0, 2]
+
+
+def test_unlearned_languages_and_gibberish_are_rejected(spark, docs_of):
+    from ledgerlens.llm.support import ready, table
+
+    rows = table(ready(spark), "/root/testdata/sf0.01", "documents").where("text is not null").collect()
+    by_lang = {x: [r.text for r in rows if r.lang == x and len(r.text) > 400] for x in ("de", "en", "es", "fr")}
+    rng = np.random.default_rng(2)
+    gibberish = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)) for _ in range(10)]
+    for known in (["de", "en", "fr"], ["de"], ["de", "en", "es", "fr"]):
+        model = lid.train([t for x in known for t in by_lang[x][:80]], [x for x in known for _ in by_lang[x][:80]])
+        mixed = [" ".join(w for at in range(0, 40, 5) for x in known for w in by_lang[x][i].split()[at : at + 5]) for i in range(80, 90)]
+        texts = {x: t[80:120] for x, t in by_lang.items()} | {"none": gibberish, "mixed": mixed}
+        docs = docs_of([(n, t, x, "s", 0) for x, group in texts.items() for n, t in enumerate(group)])
+        kept = {r["lang"]: r["count"] for r in lid.keep_known(docs, model).groupBy("lang").count().collect()}
+        for x, group in texts.items():
+            share = kept.get(x, 0) / len(group)
+            assert share >= 0.95 if x == "mixed" or x in known else share <= 0.05, (known, x, share)
