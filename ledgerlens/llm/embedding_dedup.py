@@ -7,11 +7,12 @@ neighbours. Every vector queries every shard of its label: greedy descent throug
 beam on the lowest. While everything in a beam is within the threshold, the beam is widened, so a large
 group of near copies is found whole. Each task audits itself: the stated audit queries (every
 `audit_every`-th vector) are compared with brute force over the shard, and the beam is doubled for all its
-queries until their recall reaches `audit_recall`; a beam as wide as the shard is brute force. Candidates
-are verified by their cosine in double precision, and links join into components.
+queries until each of them, itself left out, reaches the recall `audit_recall`; a beam as wide as the shard is
+brute force, and is taken where there is no audit query. Candidates are verified by their cosine in double
+precision, a link that one of its ends finds counts for both, and links join into components.
 
-Scale. A task holds one shard and one block of queries, both bounded. Links are counted where they are
-found; what leaves a task is a count per query and a spanning forest, not all pairs of a dense group.
+Scale. A task holds two shards, or one that meets itself, and a table of bits for their links, all bounded.
+Links are counted where they are found; what leaves a task is a count per query and a spanning forest, not all pairs of a dense group.
 
 Edge cases. A vector that is null, empty, zero, or holds a null or non-finite component links with nothing,
 as does one without a label: n_links 0, its own component. Repeated rows are vectors of their own and link
@@ -163,35 +164,50 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
-def search_shard(
-    graph: SmallWorld, nodes: np.ndarray, weights: np.ndarray, queries: np.ndarray, vectors: np.ndarray,
+def found_links(
+    graph: SmallWorld, nodes: np.ndarray, queries: np.ndarray, vectors: np.ndarray,
     threshold: float, beam: int, audit_every: int, audit_recall: float,
-) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(query, weight of its links in the shard) and edges that span the links found."""
+) -> np.ndarray:
+    """queries x nodes: the links found, a query itself left out. Every audited query must reach the recall by
+    itself; without an audited query the search is as wide as the shard."""
     least = threshold - _SLACK
-    audited = np.flatnonzero(queries % audit_every == 0)
-    width = beam
-    while width < len(nodes) and len(audited):
-        hit = total = 0
-        for at in audited.tolist():
-            true = set(np.flatnonzero(graph.vectors @ vectors[at] >= least).tolist())
-            total += len(true)
-            hit += len(true.intersection(graph.within(vectors[at], least, width)))
-        if hit >= audit_recall * total:
-            break
+    audited = np.flatnonzero(queries % audit_every == 0).tolist()
+
+    def recalled(at: int, width: int) -> bool:
+        true = {n for n in np.flatnonzero(graph.vectors @ vectors[at] >= least).tolist() if nodes[n] != queries[at]}
+        return len(true.intersection(graph.within(vectors[at], least, width))) >= audit_recall * len(true)
+
+    width = beam if audited else len(nodes)
+    while width < len(nodes) and not all(recalled(at, width) for at in audited):
         width *= 2
-    forest, counts = Forest(), []
-    for at, query in enumerate(queries.tolist()):
-        found = [n for n in graph.within(vectors[at], least, width) if nodes[n] != query]
-        if not found:
-            continue
-        sims = graph.vectors[found] @ vectors[at]
-        linked = [n for n, s in zip(found, sims.tolist()) if s >= threshold]
-        if linked:
-            counts.append((query, int(weights[linked].sum())))
-            for n in linked:
-                forest.join(query, int(nodes[n]))
-    return counts, forest.edges
+    out = np.zeros((len(queries), len(nodes)), bool)
+    for at in range(len(queries)):
+        found = np.array(graph.within(vectors[at], least, width), np.int64)
+        found = found[nodes[found] != queries[at]]
+        if len(found):
+            out[at, found[graph.vectors[found] @ vectors[at] >= threshold]] = True
+    return out
+
+
+def search_pair(ours: tuple, theirs: tuple | None, *settings) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(node, weight of its links) and edges that span the links between two shards (graph, nodes, weights), or
+    within one. A link that either side finds counts for both."""
+    graph, nodes, weights = ours
+    other, other_nodes, other_weights = theirs or ours
+    hits = found_links(other, other_nodes, nodes, graph.vectors, *settings)
+    hits = hits | (found_links(graph, nodes, other_nodes, other.vectors, *settings) if theirs else hits).T
+    forest, here, there = Forest(), np.zeros(len(nodes), np.int64), np.zeros(len(other_nodes), np.int64)
+    for at in np.flatnonzero(hits.any(axis=1)).tolist():
+        linked = np.flatnonzero(hits[at])
+        here[at] = other_weights[linked].sum()
+        if theirs:
+            there[linked] += weights[at]
+        else:
+            linked = linked[linked > at]
+        for n in other_nodes[linked].tolist():
+            forest.join(int(nodes[at]), n)
+    sides = ((nodes, here), (other_nodes, there))
+    return [(int(n), int(c)) for own, sums in sides for n, c in zip(own, sums) if c], forest.edges
 
 
 def near_duplicates(
@@ -243,28 +259,23 @@ def near_duplicates(
     label_type = dict(placed.dtypes)["label"]
     unit_schema = f"label {label_type}, length int, shards int, shard int"
     graphs = settle(placed.groupBy(*unit).applyInPandas(build, f"{unit_schema}, graph binary"), "graphs")
-    # Every shard's graph meets every block of its label's vectors.
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("block")
-    left = graphs.select(*unit, "graph", every)
-    right = placed.withColumnRenamed("shard", "block").select(
-        "label", "length", "shards", "block", "node", "embedding", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    )
+    # Every two shards of a label meet once, and each shard meets itself.
+    own = ["label", "length", "graph"]
+    left = graphs.select(*own, F.col("shard").alias("lo"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("hi"))
+    right = graphs.select(*own, F.col("shard").alias("hi"), F.explode(F.sequence(F.lit(0), "shard")).alias("lo"))
 
-    def search(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"a": [], "b": [], "n": []}
-        if len(graph) and len(queries):
-            world, nodes, weights = pickle.loads(graph["graph"][0])
-            queries = queries.sort_values("node", ignore_index=True)
-            counts, edges = search_shard(
-                world, nodes, weights, queries["node"].to_numpy(np.int64), _matrix(queries["embedding"]),
-                threshold, beam, audit_every, audit_recall,
-            )
+        if len(left) and len(right):
+            theirs = pickle.loads(right["graph"][0]) if left["lo"][0] != left["hi"][0] else None
+            ours = pickle.loads(left["graph"][0])
+            counts, edges = search_pair(ours, theirs, threshold, beam, audit_every, audit_recall)
             out["a"] = [a for a, _ in counts] + [a for a, _ in edges]
             out["b"] = [None] * len(counts) + [b for _, b in edges]
             out["n"] = [n for _, n in counts] + [0] * len(edges)
         return pd.DataFrame(out).astype({"a": "int64", "b": "Int64", "n": "int64"})
 
-    meet = ["label", "length", "shard", "block"]
+    meet = ["label", "length", "lo", "hi"]
     found = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(search, "a long, b long, n long")
     found = settle(found, "found")
     roots = components(found.where("b is not null").select("a", "b"))

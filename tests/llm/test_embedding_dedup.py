@@ -82,3 +82,49 @@ def test_odd_vectors(spark):
     assert found == sorted(wanted)
     empty = spark.createDataFrame([], SCHEMA)
     assert emb.near_duplicates(empty).count() == 0
+
+
+class Lossy:
+    """A shard that loses what `lost` names unless it is searched in full."""
+
+    def __init__(self, vectors, lost):
+        self.vectors, self.lost = vectors, lost
+
+    def within(self, q, least, width):
+        found = np.flatnonzero(self.vectors @ q >= least).tolist()
+        at = int(np.argmax(self.vectors @ q))
+        return found if width >= len(self.vectors) else [n for n in found if (at, n) not in self.lost]
+
+
+def lossy(pairs, size=130, dense=100):
+    x = np.eye(size)
+    x[1:dense] = x[0] + np.eye(size)[1:dense] * 0.01  # a dense group, then pairs
+    x[dense + 1 :: 2] = x[dense:-1:2] + x[0] * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return Lossy(x, pairs), x
+
+
+def wanted_links(x):
+    sims = x @ x.T >= 0.98
+    np.fill_diagonal(sims, False)
+    return {i: int(n) for i, n in enumerate(sims.sum(axis=1)) if n}
+
+
+def test_audit_sees_sparse_pairs_and_cells_without_audit_queries():
+    sparse = {(a, b) for i in range(100, 130, 2) for a, b in ((i, i + 1), (i + 1, i))}
+    graph, x = lossy(sparse)
+    ids, ones = np.arange(130), np.ones(130, np.int64)
+    for nodes in (ids, ids * 50 + 1):  # the latter has no audit query
+        counts, _ = emb.search_pair((graph, nodes, ones), None, 0.98, 24, 50, 0.995)
+        assert {int(np.searchsorted(nodes, a)): n for a, n in counts} == wanted_links(x)
+
+
+def test_links_found_from_one_side_count_for_both():
+    graph, x = lossy({(i + 1, i) for i in range(102, 130, 2)})
+    ids, ones = np.arange(130), np.ones(130, np.int64)
+    counts, edges = emb.search_pair((graph, ids, ones), None, 0.98, 24, 1000, 0.995)
+    assert dict(counts) == wanted_links(x) and len(edges) == 99 + 15
+    a, b = Lossy(x[::2], {(i, i) for i in range(51, 65)}), Lossy(x[1::2], set())
+    a.within, full = (lambda q, least, width: []), wanted_links(x)  # nothing is found from that side
+    counts, _ = emb.search_pair((a, ids[::2], ones[::2]), (b, ids[1::2], ones[1::2]), 0.98, 24, 1000, 0.995)
+    assert all(dict(counts)[i] == (1 if i >= 100 else 50) for i in full)
