@@ -4,7 +4,8 @@ A word-end BPE of the tokenizers library never looks across white space, so the
 of its pieces between ASCII white space, one after another. Texts repeat their words: each worker keeps
 the ids of pieces and of words it has met. A piece of plain Latin letters, digits and signs is cut into
 words here and each new word goes to the library's model; any other piece goes through the library's
-whole chain of normalizer, splitter and model."""
+whole chain of normalizer, splitter and model. A text that may hold an added token goes there whole, as
+such tokens are looked for before letters are lower-cased."""
 
 from __future__ import annotations
 
@@ -38,6 +39,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
@@ -46,13 +48,16 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(spelled)]
         return _IDS[len(ids)].pack(*ids) if len(ids) < len(_IDS) else struct.pack(f"<{len(ids)}I", *ids)
 
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: bytes) -> bytes:
         if piece.isalpha():
             return self._word(piece)
         text = piece.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or b"<|" in piece:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+        if not _PLAIN.fullmatch(text):
+            return self._whole(text)
         words = [w.encode() for w in _WORDS.findall(text.lower())]
         return b"".join([self._known(w, self._word) for w in words])
 
@@ -66,8 +71,10 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
-        # bytes.lower touches ASCII only, which the tokenizer lower-cases itself, but for special tokens.
-        pieces = (raw if b"<|" in raw else raw.lower()).split()
+        low = raw.lower()  # touches ASCII only, which the tokenizer lower-cases itself
+        if any(token in low for token in self.added):
+            return self._whole(raw.decode("utf-8"))
+        pieces = low.split()
         ids = list(map(self.known.get, pieces))
         if None in ids:
             for at, found in enumerate(ids):

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -25,6 +26,8 @@ ODD_TEXTS = [
     None,
     "",
     "日本語 текст 🙂🙂 é",
+    "The Cat sat <| here",
+    "The Cat <|endoftext|> SAT <|EndOfText|> Here",
 ]
 
 
@@ -35,6 +38,20 @@ def test_encoder_is_the_library(spark):
         assert [encode(t) for t in texts] == [packed(i) for i in library_ids(texts)]
 
 
+def test_encoder_is_the_library_on_random_texts():
+    """Capitals, added tokens and parts of them, signs, marks, odd spaces and other scripts, in any order."""
+    rng = random.Random(11)
+    parts = [
+        "The", "CAT", "sat", "don't", "I'LL", "'S", "x", "Q", "<|", "|>", "<|endoftext|>", "<|startoftext|>",
+        "<|ENDOFTEXT|>", "</w>", "<", "|", "0", "42", "3.14", "é", "É", "e\u0301", "ß", "ẞ", "İ", "Σ", "ΣΑΣ", "ǅ", "ﬁ",
+        "½", "²", "日本", "текст", "ТЕКСТ", "🙂", "\u200d", "\u00ad", "\ufeff", "&amp;", "@", "_", "--", "...", "\x00",
+    ]
+    spaces = ["", "", " ", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000"]
+    texts = ["".join(rng.choice(parts) + rng.choice(spaces) for _ in range(rng.randint(1, 9))) for _ in range(100_000)]
+    encode = encoder(token_orc.tokenizer_path())
+    assert [t for t, ids in zip(texts, library_ids(texts)) if encode(t) != packed(ids)] == []
+
+
 def test_round_trip_through_orc(spark):
     rows = registry.op5_token_orc(spark, "/root/testdata/sf0.001").collect()
     docs = sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect(), key=lambda r: r.doc_id)
