@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerlens.llm import (
     decontamination,
+    divergence,
     embedding_dedup,
     language_id,
     license_scan,
     packing,
     pii,
+    resampling,
     sharding,
     simhash,
+    substring_dedup,
     token_orc,
     warc,
 )
@@ -80,6 +83,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(ready(spark), sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(ready(spark), sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,6 +108,9 @@ QUERIES: dict[str, Query] = {
         op8_simhash_near_duplicates,
         op9_embedding_near_duplicates,
         op10_language_id,
+        op11_substring_dedup,
+        op12_source_divergence,
+        op13_importance_resampling,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -106,5 +124,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_scan.oracle(),
         "op2_sharding": sharding.oracle(),
         "op4_warc_fixity": warc.oracle(),
+        "op11_substring_dedup": substring_dedup.oracle(),
+        "op12_source_divergence": divergence.oracle(),
+        "op13_importance_resampling": resampling.oracle(),
     }
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
