@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import band, flagged, pct, ratio, round_to, row_count, successful
 from ledgerlens.operators.rates import share_of_all
+from ledgerlens.plans.bins import counted_tiles
 from ledgerlens.plans.ordering import (
-    counted_tiles,
     fraction_ranks,
     ntile_ranks,
     quantile_ranks,
@@ -105,7 +105,7 @@ def value_tiers(ledger: DataFrame) -> DataFrame:
     per_tier = ranked.groupBy(tier.alias("tier")).agg(
         F.sum("rows").alias("txn_count"),
         F.sum("total").alias("value"),
-        F.min("value").alias("least"),
+        F.min("least").alias("least"),
         F.sum("flags").alias("flags"),
     )
     return per_tier.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import fixed_values as fv
-from ledgerlens.functions.exprs import flagged, pct, ratio, round_to, row_count, successful
+from ledgerlens.functions.exprs import flagged, month_label, pct, ratio, round_to, row_count, successful
 from ledgerlens.operators.rates import share_of_all
 
 
@@ -136,3 +136,42 @@ def failure_distribution(ledger: DataFrame) -> DataFrame:
         )
         .orderBy("failed_txns")
     )
+
+
+def monthly_state(ledger: DataFrame) -> DataFrame:
+    """What a month adds to each customer: rows, successful rows and value, flags, and newest times.
+
+    All of it merges, so stored months need not be read again: a new month is one pass over its own rows, and
+    `merge_states` takes any union of months, or of states that were merged before.
+    """
+    paid = successful()
+    return ledger.groupBy("customer_id", month_label(F.col("txn_ts")).alias("month")).agg(
+        F.count("txn_id").alias("txn_count"),
+        F.count_if(paid).alias("success_count"),
+        F.count_if(flagged()).alias("flag_count"),
+        F.sum(F.when(paid, F.col("amount"))).alias("value_success"),
+        F.max("txn_ts").alias("any_ts"),
+        F.max(F.when(paid, F.col("txn_ts"))).alias("last_paid_ts"),
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per customer; merging merged states gives the same."""
+    return states.groupBy("customer_id").agg(
+        *[F.sum(c).alias(c) for c in ("txn_count", "success_count", "flag_count", "value_success")],
+        *[F.max(c).alias(c) for c in ("any_ts", "last_paid_ts")],
+    )
+
+
+def customer_model_of(state: DataFrame, accounts: DataFrame) -> DataFrame:
+    """`customer_model` from merged states instead of the ledger."""
+    per_customer = state.filter(F.col("customer_id").isNotNull()).select(
+        "customer_id",
+        "txn_count",
+        "success_count",
+        F.coalesce("value_success", F.lit(0)).alias("value_success"),
+        "flag_count",
+        F.col("any_ts").alias("last_txn"),
+        ratio(F.col("success_count"), F.col("txn_count")).alias("success_rate"),
+    )
+    return _by_label(per_customer, accounts, "segment")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.exprs import round_to, row_count
-from ledgerlens.plans.ordering import exact_percentiles
+from ledgerlens.functions.exprs import ratio, round_to, row_count
+from ledgerlens.plans.bins import items, percentile
 
 
 def relationship_check(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -60,9 +60,38 @@ def profile_nulls(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*nulls).alias("c")).select(total.alias("frame_nulls"), F.inline("c")).orderBy("column_name")
 
 
+_MARKS = 1 << 20
+
+
+def _row_digest(df: DataFrame, seed: int) -> Column:
+    """A hash of a row that tells a missing value from any other."""
+    parts = [p for c in df.columns for p in (F.col(c).isNull(), F.col(c))]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 def profile_duplicates(df: DataFrame) -> DataFrame:
-    """Fully equal rows beyond the first; copies are combined before the shuffle."""
-    copies = df.groupBy(*df.columns).agg(row_count().alias("copies"))
+    """Fully equal rows beyond the first.
+
+    The first scan counts 128-bit digests of rows, so its shuffle does not depend on how wide a row is. The digests
+    that repeat set marks in a table of fixed size; the second scan compares rows in full, but only those with a mark,
+    and combines copies before the shuffle. A mark set by another row lets a row through that adds nothing.
+    """
+    first, second = _row_digest(df, 1), _row_digest(df, 2)
+    digests = df.select(first.alias("a"), second.alias("b")).groupBy("a", "b").agg(row_count().alias("n"))
+    mark = F.pmod(F.col("a"), F.lit(_MARKS))
+    words = (
+        digests.filter("n > 1")
+        .groupBy(F.floor(mark / 64).alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(a, {_MARKS}) % 64 as int))")).alias("bits"))
+    )
+    table = F.map_from_entries(F.collect_list(F.struct("word", "bits")))  # at most _MARKS / 64 entries
+    by_word = words.agg(table.alias("m")).select(
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(_MARKS // 64 - 1).cast("bigint")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint")))
+    )
+    own = F.pmod(first, F.lit(_MARKS))
+    bits = F.get("_marks", F.floor(own / 64).cast("int"))
+    marked = df.withColumn("_marks", by_word.scalar()).filter(F.getbit(bits, (own % 64).cast("int")) == 1).drop("_marks")
+    copies = marked.groupBy(*df.columns).agg(row_count().alias("copies"))
     return copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
@@ -77,16 +106,18 @@ def profile_describe(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns]
     )
     long = df.select(F.inline(pairs)).filter(F.col("x").isNotNull())
-    sums = long.groupBy("column_name").agg(
-        row_count().alias("count"),
-        F.avg("x").alias("mean"),
-        F.when(row_count() > 1, F.stddev_samp("x")).alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-    )
-    quartiles = exact_percentiles(long, "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"])
+    found = items(long, "x", [0.25, 0.5, 0.75], ["column_name"], {"total": F.sum("x"), "n": row_count()})
+    n = F.sum("n")
     return (
-        sums.join(quartiles, "column_name")
+        found.groupBy("column_name")
+        .agg(
+            n.alias("count"),
+            ratio(F.sum("total"), n).alias("mean"),
+            F.when(n > 1, F.sqrt(ratio(F.sum("m2"), n - 1))).alias("std"),
+            F.min("least").alias("min"),
+            *[percentile(q / 100).alias(f"p{q}") for q in (25, 50, 75)],
+            F.max("most").alias("max"),
+        )
         .select(
             "column_name",
             "count",

@@ -24,7 +24,7 @@ from ledgerlens.functions.exprs import (
     row_count,
     successful,
 )
-from ledgerlens.plans.ordering import exact_percentiles
+from ledgerlens.plans.bins import items, percentile
 
 
 def total_over_categories(column: str | Column) -> Column:
@@ -65,14 +65,15 @@ def status_share(ledger: DataFrame, key: str = "status") -> DataFrame:
 
 def type_value_skew(ledger: DataFrame, by: str = "txn_type") -> DataFrame:
     """Successful value per type with mean against exact median."""
-    paid = ledger.filter(successful())
-    medians = exact_percentiles(paid, "amount", {"median": 0.5}, [by])
-    total = F.sum("amount")
-    sums = paid.groupBy(by).agg(row_count().alias("txn_count"), total.alias("total"), F.count("amount").alias("counted"))
-    joined = sums.join(medians.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
-    return joined.select(
+    sums = {"n": row_count(), "total": F.sum("amount"), "counted": F.count("amount")}
+    paid = items(ledger.filter(successful()), "amount", [0.5], [by], sums)
+    per_type = paid.groupBy(by).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        percentile(0.5).alias("median"),
+    )
+    return per_type.select(
         by,
-        "txn_count",
+        F.col("n").alias("txn_count"),
         round_to(F.col("total"), 0).alias("total_value"),
         round_to(ratio(F.col("total"), F.col("counted")), 0).alias("avg_value"),
         round_to(F.col("median"), 0).alias("median_value"),

@@ -29,7 +29,12 @@ def customer_rfm(ledger: DataFrame) -> DataFrame:
         F.count_if(paid).alias("frequency"),
         F.sum(F.when(paid, F.col("amount"))).alias("monetary"),
     )
-    newest = every_column(per_customer).agg(F.to_date(F.max("any_ts"))).scalar()
+    return rfm_of_customers(every_column(per_customer))
+
+
+def rfm_of_customers(per_customer: DataFrame) -> DataFrame:
+    """The same from one row per customer: customer_id, any_ts, last_ts, frequency and monetary."""
+    newest = per_customer.agg(F.to_date(F.max("any_ts"))).scalar()
     per_customer = per_customer.withColumn("newest", newest).filter(F.col("frequency") > 0)
     per_customer = per_customer.select(
         "customer_id",
@@ -99,6 +104,21 @@ def rfm_vs_labels(rfm: DataFrame, accounts: DataFrame, label: str = "segment") -
     )
 
 
+def customer_rfm_of(state: DataFrame) -> DataFrame:
+    """`customer_rfm` from merged customer states instead of the ledger."""
+    return rfm_of_customers(
+        every_column(
+            state.select(
+                "customer_id",
+                "any_ts",
+                F.col("last_paid_ts").alias("last_ts"),
+                F.col("success_count").alias("frequency"),
+                F.col("value_success").alias("monetary"),
+            )
+        )
+    )
+
+
 _METRICS = ("recency_days", "txn_count", "value_success")
 _FIFTHS = (0.2, 0.4, 0.6, 0.8)
 

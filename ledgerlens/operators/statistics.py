@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.exprs import binomial_tail, chi2_tail, failed, pct, ratio, round_to, row_count
 from ledgerlens.operators.rfm import with_recency
-from ledgerlens.plans.ordering import every_column, percentile, value_counts
+from ledgerlens.plans.bins import counted_rows, exact_percentiles, items, percentile
+from ledgerlens.plans.ordering import every_column
 
 
 def two_proportion_ztest(
@@ -185,34 +186,32 @@ def _iqr_bound(q1: Column, q3: Column) -> Column:
 
 
 def amount_outliers(ledger: DataFrame, value: str = "amount") -> DataFrame:
-    """Mean, median, bias-adjusted skewness, upper IQR bound, rows above it, maximum."""
-    values = value_counts(ledger, value)
-    values = values.withColumn("bound", values.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar())
-    bound = F.col("bound")
-    rows = F.col("rows").cast("double")
-    mean = ratio(F.col("total_all"), F.col("rows_all"))
-    away = F.col("value").cast("double") - mean
-    n = F.sum(rows)
-    m2, m3 = F.sum(rows * away * away) / n, F.sum(rows * away * away * away) / n
+    """Mean, median, bias-adjusted skewness, upper IQR bound, rows above it, maximum; from two scans."""
+    present = ledger.filter(F.col(value).isNotNull())
+    found = every_column(items(present, value, [0.25, 0.5, 0.75], totals={"total": F.sum(value)}, fence_iqrs=fv.WHISKER_IQRS))
+    found = found.withColumn("bound", found.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar())
+    n = F.max("all").cast("double")
+    m2, m3 = F.sum("m2") / n, F.sum("m3") / n
     skewness = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * ratio(m3, F.pow(m2, F.lit(1.5))))
-    above = F.sum(F.when(F.col("value") > bound, F.col("rows")).otherwise(0))
-    return values.agg(
+    above = counted_rows(F.col("least") > F.col("bound"))
+    return found.agg(
         round_to(ratio(F.sum("total"), n), 2).alias("mean"),
         round_to(percentile(0.5), 2).alias("median"),
         round_to(skewness, 4).alias("skewness"),
-        round_to(F.max(bound), 2).alias("upper_bound"),
+        round_to(F.max("bound"), 2).alias("upper_bound"),
         above.cast("bigint").alias("outliers"),
         pct(above, n, 1).alias("outlier_pct"),
-        round_to(F.max("value"), 2).alias("maximum"),
+        round_to(F.max("most"), 2).alias("maximum"),
     )
 
 
 def customer_value_outliers(model: DataFrame, value: str = "value_success") -> DataFrame:
     """Customers strictly above the upper IQR bound of successful value."""
-    values = value_counts(model, value)
-    bound = values.agg(_iqr_bound(percentile(0.25), percentile(0.75))).scalar()
+    model = every_column(model.select("customer_id", value))
+    quartiles = exact_percentiles(model, value, {"q1": 0.25, "q3": 0.75})
+    bound = quartiles.select(_iqr_bound(F.col("q1"), F.col("q3"))).scalar()
     return (
-        model.select("customer_id", value, bound.alias("cutoff"))
+        model.withColumn("cutoff", bound)
         .filter(F.col(value) > F.col("cutoff"))
         .select("customer_id", round_to(F.col(value), 2).alias(value), round_to(F.col("cutoff"), 2).alias("cutoff"))
     )
@@ -246,21 +245,23 @@ def log_histogram(ledger: DataFrame, value: str = "amount", bins: int = fv.HISTO
 
 
 def box_stats(ledger: DataFrame, by: str = "txn_type", value: str = "amount") -> DataFrame:
-    """Quartiles per type and the outermost values within 1.5 IQR of the box, by median."""
-    typed = ledger.filter(F.col(by).isNotNull())
-    values = value_counts(typed, value, [by])
-    boxes = every_column(values).groupBy(by).agg(
+    """Quartiles per type and the outermost values within 1.5 IQR of the box, by median; from two scans.
+
+    Whiskers are read off the bins, and in the bins where a fence can lie off the values themselves.
+    """
+    typed = ledger.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
+    found = every_column(items(typed, value, [0.25, 0.5, 0.75], [by], fence_iqrs=fv.WHISKER_IQRS))
+    boxes = found.groupBy(by).agg(
         percentile(0.25).alias("q1"), percentile(0.5).alias("median"), percentile(0.75).alias("q3")
     )
-    # `boxes` has a row per type, which adaptive execution broadcasts; where it cannot, it
-    # splits the values of a type that holds most of them.
-    x, reach = F.col("value").cast("double"), fv.WHISKER_IQRS * (F.col("q3") - F.col("q1"))
+    reach = fv.WHISKER_IQRS * (F.col("q3") - F.col("q1"))
     return (
-        values.join(boxes, by)
+        found.filter(~F.col("open"))
+        .join(boxes, by)
         .groupBy(by, "q1", "median", "q3")
         .agg(
-            F.min(F.when(x >= F.col("q1") - reach, x)).alias("whisker_low"),
-            F.max(F.when(x <= F.col("q3") + reach, x)).alias("whisker_high"),
+            F.min(F.when(F.col("least") >= F.col("q1") - reach, F.col("least"))).alias("whisker_low"),
+            F.max(F.when(F.col("most") <= F.col("q3") + reach, F.col("most"))).alias("whisker_high"),
         )
         .select(by, *[round_to(F.col(c), 4).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
         .orderBy("median", by)

@@ -26,6 +26,9 @@ ORDER_REPORTS = (
     "amount_outliers",
 )
 
+# The month that is added to the states of the months before it.
+NEW_MONTH = "2024-02"
+
 # Reports run on the ledger with missing amounts and times as well.
 GAPPED_REPORTS = (
     "value_deciles",
@@ -480,6 +483,15 @@ _DESCRIBE = """
     from {table}"""
 
 
+_INFERRED = """
+    select '{c}' as column_name, count({c}) as non_null, case when count({c}) = 0 then 'string'
+           when count(*) filter (not regexp_full_match(trim({c}::varchar), '-?[0-9]+')) = 0 then 'bigint'
+           when count(*) filter ({c} is not null and try_cast({c}::varchar as double) is null) = 0 then 'double'
+           when count(*) filter ({c} is not null and try_cast({c}::varchar as timestamp) is null) = 0 then 'timestamp_ntz'
+           else 'string' end as data_type
+    from {table}"""
+
+
 def _shape(table: str, columns: dict[str, str]) -> str:
     return _long_profile(table, columns, _SHAPE)
 
@@ -536,6 +548,29 @@ def oracle_sql() -> dict[str, str]:
         out[f"profile_nulls_{part}"] = _with(cte) + _nulls(table, types)
         out[f"profile_describe_{part}"] = _with(cte) + _long_profile(table, _numeric(types), _DESCRIBE)
 
+        out[f"inferred_types_{part}"] = _with(cte) + _long_profile(table, types, _INFERRED)
+    # Merged states give what the ledger gives.
+    out["state_customer_rfm"] = out["customer_rfm"]
+    out["state_customer_model"] = out["customer_model"]
+    out["reconcile_ledger_rows"] = _with(_LEDGER) + """
+        , other as (
+          select * replace (case when txn_id % 499 = 5 then amount + 1 else amount end as amount,
+                            case when txn_id % 499 = 5 and txn_id % 2 = 0 then null else channel end as channel)
+          from ledger, range(case when txn_id % 991 = 3 then 2 else 1 end) where txn_id % 997 <> 11),
+        sides as (select columns(l.*), 1 as l, 0 as r from ledger l
+                  union all by name select * exclude (range), 0 as l, 1 as r from other),
+        per_row as (select * exclude (l, r), greatest(sum(l) - sum(r), 0) as l, greatest(sum(r) - sum(l), 0) as r
+                    from sides group by all having sum(l) <> sum(r)),
+        per_key as (select txn_id, sum(l) as l, sum(r) as r,
+                           max(amount) filter (l > 0) is distinct from max(amount) filter (r > 0) as of_amount,
+                           max(channel) filter (l > 0) is distinct from max(channel) filter (r > 0) as of_channel
+                    from per_row group by txn_id)
+        select txn_id, case when r = 0 then 'only_left' when l = 0 then 'only_right' else 'changed' end as status,
+               cast(l as bigint) as left_rows, cast(r as bigint) as right_rows,
+               case when l = 1 and r = 1 then concat_ws(',', case when of_channel then 'channel' end,
+                                                             case when of_amount then 'amount' end) end as columns
+        from per_key"""
+
     for name in ORDER_REPORTS:
         out[f"orders_{name}"] = out[name].replace(_LEDGER, _ORDERS)
     for name in GAPPED_REPORTS:

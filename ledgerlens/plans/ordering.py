@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLES_PER_BUCKET = 16
-BINS_PER_E_FOLD = 64
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -135,51 +134,6 @@ def percentile(q: float) -> Column:
     return low + (high - low) * F.max(position - F.floor(position))
 
 
-def exact_percentiles(df: DataFrame, value: str, quantiles: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group with each named quantile of the non-NULL values, linearly interpolated.
-
-    A first pass counts values in bins of a rising function of the value, combined before the
-    shuffle; running counts over these few bins tell which bins hold the wanted ranks. A
-    second pass shuffles the rows of those bins only and orders them exactly. The bins bound
-    the work and never touch a result.
-    """
-    groups = {f"_g{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for i, c in enumerate(by)}
-    x = F.col(value).cast("double")
-    binned = F.floor(F.signum(x) * F.log1p(F.abs(x)) * BINS_PER_E_FOLD)
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *by, x.alias("value"), binned.alias("_bin"), *[c.alias(n) for n, c in groups.items()]
-    )
-    names = list(groups)
-    bins = rows.groupBy(*names, "_bin").agg(F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in by])
-    whole = Window.partitionBy(*names)
-    to = F.sum("rows").over(whole.orderBy("_bin"))
-    bins = bins.withColumns({"before": to - F.col("rows"), "all": F.sum("rows").over(whole)})
-    position = {name: (F.col("all") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
-    ranks = F.array_distinct(F.array(*[f(p) for p in position.values() for f in (F.floor, F.ceil)]))
-    end = F.col("before") + F.col("rows")
-    held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < end))
-    # At most two bins per quantile and group.
-    wanted = bins.select(*names, "_bin", "before", "all", *by, held.alias("ranks")).filter(F.size("ranks") > 0)
-    key = [*names, "_bin"]
-    near = rows.select(*key, "value").join(F.broadcast(wanted.select(*key)), key)
-    near = near.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("rows"))
-    placed = running_totals(near, ["value"], ["rows"], key).join(F.broadcast(wanted), key)
-    start = F.col("before") + F.col("rows_to") - F.col("rows")
-    found = placed.select(*names, *by, "all", "value", F.explode("ranks").alias("rank"), start.alias("start"), "rows")
-    found = found.filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("rows")))
-    at = found.groupBy(*names).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),  # the wanted ranks
-        F.first("all").alias("all"),
-        *[F.first(c).alias(c) for c in by],
-    )
-
-    def interpolated(p: Column) -> Column:
-        low, high = F.element_at("at", F.floor(p)), F.element_at("at", F.ceil(p))
-        return low + (high - low) * (p - F.floor(p))
-
-    return at.select(*by, *[interpolated(p).alias(name) for name, p in position.items()])
-
-
 def ntile_ranks(tiles: int) -> Callable[[Column], list[Column]]:
     """Last rank of each tile but the final one when n rows go into equal tiles, larger ones first."""
 
@@ -269,68 +223,6 @@ def with_tiles(
     return with_cuts.withColumns({name: tile(i) for i, name in enumerate(names)}).drop("_cuts")
 
 
-def counted_tiles(
-    df: DataFrame,
-    value: str,
-    tiebreak: str,
-    measures: Mapping[str, Column],
-    ranks: Callable[[Column], list[Column]],
-) -> DataFrame:
-    """Rows, value and measures of each tile of the rows by falling `value`, NULL last.
-
-    One row per tile and value or key that a cut divides, for the caller to add up: `tile`,
-    `value`, `rows`, `total` (sum of the value) and the measures (whole numbers per row).
-    Rows of one value are counted before the shuffle, so a value held by many rows is one
-    item. Only a value that a cut divides has its rows looked at again, ordered by
-    `tiebreak` (NULL last); equal rows, being interchangeable, are divided by number. Both
-    steps scan the input once.
-    """
-    rows = df.select(F.col(value).alias("value"), F.col(tiebreak).alias("id"), *[c.alias(m) for m, c in measures.items()])
-    names = list(measures)
-    none, down = last(-F.col("value"))
-    counted = (
-        rows.groupBy("value")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total"), *[F.sum(m).alias(m) for m in names])
-        .withColumns({"none": none, "down": down})
-    )
-    ranked = running_totals(counted, ["none", "down"], ["rows"])
-    cuts = F.array(*ranks(F.col("rows_all")))
-    start = F.col("rows_to") - F.col("rows")
-    ranked = ranked.select(
-        "value", "rows", "total", *names, "rows_to", cuts.alias("cuts"), start.alias("start"),
-        F.exists(cuts, lambda c: (c > start) & (c < F.col("rows_to"))).alias("divided"),
-    )
-
-    def tile_of(rank: Column) -> Column:
-        return F.size(F.filter("cuts", lambda c: c < rank)) + 1
-
-    whole = ranked.filter(~F.col("divided")).select(tile_of(F.col("rows_to")).alias("tile"), "value", "rows", "total", *names)
-    # No more divided values than cuts.
-    divided = ranked.filter("divided").select(F.col("value").alias("cut_value"), "start", "cuts")
-    id_none, row = last(F.col("id"))
-    ties = rows.join(F.broadcast(divided), F.col("value").eqNullSafe(F.col("cut_value"))).groupBy(
-        "start", "value", id_none.alias("id_none"), row.alias("id"), *names
-    )
-    ties = ties.agg(F.count(F.lit(1)).alias("rows"))
-    order = ["id_none", "id", *names]
-    placed = running_totals(ties, order, ["rows"], ["start"]).join(F.broadcast(divided.select("start", "cuts")), "start")
-    first, end = F.col("start") + F.col("rows_to") - F.col("rows"), F.col("start") + F.col("rows_to")
-    edges = F.concat(F.array(F.lit(0).cast("bigint")), "cuts", F.array(F.lit(2**62)))
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.size("cuts") + 1),
-        lambda t: F.struct(
-            t.alias("tile"),
-            (F.least(end, F.get(edges, t)) - F.greatest(first, F.get(edges, t - 1))).alias("n"),
-        ),
-    )
-    parted = placed.select("value", *names, F.inline(pieces)).filter("n > 0")
-    parted = parted.select(
-        "tile", "value", F.col("n").alias("rows"), (F.col("value") * F.col("n")).alias("total"),
-        *[(F.col(m) * F.col("n")).alias(m) for m in names],
-    )
-    return whole.unionByName(parted)
-
-
 def unique_rows(df: DataFrame, identity: str, name: str = "_copy") -> tuple[DataFrame, str]:
     """df with a column that tells the rows of one `identity` apart, usable as a tiebreak."""
     copy = F.row_number().over(Window.partitionBy(identity).orderBy(*[c for c in df.columns if c != identity]))

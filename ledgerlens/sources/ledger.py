@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,66 @@ def csv_schema(
     return T.StructType([T.StructField(h, types.get(names.get(h, h), T.StringType())) for h in headers])
 
 
+#: Types a text column may have, from the narrowest; text takes any value.
+INFERRED: tuple[T.DataType, ...] = (T.LongType(), T.DoubleType(), T.TimestampNTZType())
+
+
+def type_counts(texts: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """column_name, non_null, and for each inferred type how many values do not have it; one scan, one row a column."""
+    columns = texts.columns if columns is None else list(columns)
+
+    def lacks(c: str, kind: T.DataType) -> Column:
+        # A leading plus makes text of a number, as of a telephone number.
+        value = F.trim(c)
+        return F.col(c).isNotNull() & (value.try_cast(kind).isNull() | value.startswith("+"))
+
+    counts = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(c).alias("non_null"),
+            *[
+                F.count_if(lacks(c, kind)).alias(f"not_{kind.typeName()}")
+                for kind in INFERRED
+            ],
+        )
+        for c in columns
+    ]
+    return texts.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+
+
+def inferred_types(texts: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """column_name, data_type, non_null: the narrowest type that every value of a text column has. A column
+    without values stays text."""
+    counts = type_counts(texts, columns)
+    kind = F.when(F.col("non_null") == 0, "string")
+    for t in INFERRED:
+        kind = kind.when(F.col(f"not_{t.typeName()}") == 0, t.simpleString())
+    return counts.select("column_name", kind.otherwise("string").alias("data_type"), "non_null").orderBy("column_name")
+
+
+def infer_types(
+    texts: DataFrame, names: Mapping[str, str], overrides: Mapping[str, T.DataType] | None = None
+) -> dict[str, T.DataType]:
+    """Types by canonical name for `csv_schema`: inferred in one scan of text columns, overrides and the fixed types
+    of times and amounts winning. Columns that have a type already are not looked at."""
+    fixed = {**_TYPES, **(overrides or {})}
+    open_ = [c for c in texts.columns if names.get(c, c) not in fixed]
+    known = {t.simpleString(): t for t in INFERRED}
+    found = inferred_types(texts, open_).collect() if open_ else []  # a row per column
+    return fixed | {names.get(r["column_name"], r["column_name"]): known[r["data_type"]] for r in found if r["data_type"] in known}
+
+
 def _canonical(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({header: names[header] for header in df.columns if header in names})
 
 
-def _load_csv(spark, path, names, headers, overrides) -> DataFrame:
+def _load_csv(spark, path, names, headers, overrides, infer) -> DataFrame:
     if headers is None:
         # Only the header line is looked at; types come from the explicit schema.
         headers = spark.read.csv(path, header=True).columns
+    if infer:
+        texts = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+        overrides = infer_types(spark.read.schema(texts).csv(path, header=True), names, overrides)
     reader = spark.read.schema(csv_schema(headers, names, overrides))
     # A bad number or timestamp stops the load instead of turning into NULL.
     return _canonical(reader.csv(path, header=True, mode="FAILFAST", enforceSchema=False), names)
@@ -47,8 +99,11 @@ def load_transactions(
     *,
     headers: Iterable[str] | None = None,
     types: Mapping[str, T.DataType] | None = None,
+    infer: bool = False,
 ) -> DataFrame:
-    return _load_csv(spark, path, fv.TRANSACTION_HEADERS, headers, types)
+    """The file's rows under canonical names. With `infer`, columns without a given or fixed type get the narrowest
+    one that all their values have, at the price of one more scan; else they are text."""
+    return _load_csv(spark, path, fv.TRANSACTION_HEADERS, headers, types, infer)
 
 
 def load_customers(
@@ -57,8 +112,11 @@ def load_customers(
     *,
     headers: Iterable[str] | None = None,
     types: Mapping[str, T.DataType] | None = None,
+    infer: bool = False,
 ) -> DataFrame:
-    return _load_csv(spark, path, fv.CUSTOMER_HEADERS, headers, types)
+    """The file's rows under canonical names. With `infer`, columns without a given or fixed type get the narrowest
+    one that all their values have, at the price of one more scan; else they are text."""
+    return _load_csv(spark, path, fv.CUSTOMER_HEADERS, headers, types, infer)
 
 
 def parse_csv_lines(
@@ -110,6 +168,16 @@ def save_by_month(ledger: DataFrame, path: str) -> None:
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
+def save_table(df: DataFrame, name: str, buckets: int, *, key: str = "customer_id", path: str | None = None) -> None:
+    """Store a query's result as a table bucketed and sorted by `key`, replacing one of that name.
+
+    Tables of the same number of buckets join and group by the key without a shuffle. Rows are dealt to buckets before
+    they are written, so there is one file a bucket.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def register_views(ledger: DataFrame, accounts: DataFrame) -> None:
     """Expose both tables to `spark.sql` as `transactions` and `customers`, and the quartile model as `customer_rfm`."""
     ledger.createOrReplaceTempView("transactions")

@@ -72,6 +72,16 @@ def gapped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def changed_copy(ledger: DataFrame) -> DataFrame:
+    """The ledger with some rows changed, lost or added, by a rule on its ids."""
+    return ledger.filter("txn_id % 997 <> 11").selectExpr(
+        "* except (amount, channel)",
+        "case when txn_id % 499 = 5 then amount + 1 else amount end as amount",
+        "case when txn_id % 499 = 5 and txn_id % 2 = 0 then null else channel end as channel",
+        "explode(sequence(1, case when txn_id % 991 = 3 then 2 else 1 end)) as copy",
+    ).select(*ledger.columns)
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`customer` as the account table; some device and location texts are blank or missing."""
     return _table(spark, sf_dir, "customer", _CUSTOMER).selectExpr(*_ACCOUNTS)

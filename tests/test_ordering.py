@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.plans import ordering
+from ledgerlens.plans import bins, ordering
 
 
 def skewed_values(n, seed=1):
@@ -86,7 +86,7 @@ def test_counted_tiles_divide_repeated_rows_by_number(spark, n, copies):
     rng = random.Random(n * copies)
     rows = [(i, rng.choice([None, 1.0, 2.0, 3.0, 50.0])) for i in range(n)] * copies
     df = spark.createDataFrame(rows, "id bigint, v double").repartition(4)
-    got = ordering.counted_tiles(df, "v", "id", {"odd": F.col("id") % 2}, ordering.ntile_ranks(4))
+    got = bins.counted_tiles(df, "v", "id", {"odd": F.col("id") % 2}, ordering.ntile_ranks(4))
     got = {r.tile: (r.n, r.total, r.odd) for r in got.groupBy("tile").agg(F.sum("rows").alias("n"), F.sum("total").alias("total"), F.sum("odd").alias("odd")).collect()}
     ranked = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     wanted = {}
@@ -150,7 +150,7 @@ def test_refined_percentiles_are_exact(spark, skewed):
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, -3.5, 0.0, rng.uniform(-1e6, 1e6), rng.expovariate(1e-3)])) for _ in range(900)]
     df = spark.createDataFrame(rows + [("one", 7.0), ("none", None)], "g string, v double").repartition(4)
     qs = {"q0": 0.0, "q1": 0.1, "q2": 0.25, "q5": 0.5, "q9": 0.93, "q10": 1.0}
-    got = {r.g: [r[q] for q in qs] for r in ordering.exact_percentiles(df, "v", qs, ["g"]).collect()}
+    got = {r.g: [r[q] for q in qs] for r in bins.exact_percentiles(df, "v", qs, ["g"]).collect()}
     groups = {}
     for g, v in [*rows, ("one", 7.0)]:
         if v is not None:
@@ -158,8 +158,8 @@ def test_refined_percentiles_are_exact(spark, skewed):
     assert got.keys() == groups.keys()
     for g, values in groups.items():
         assert got[g] == pytest.approx(list(np.quantile(values, list(qs.values()))))
-    assert ordering.exact_percentiles(df.limit(0), "v", qs, ["g"]).count() == 0
-    assert list(ordering.exact_percentiles(df.limit(0), "v", qs).first()) == [None] * len(qs)
+    assert bins.exact_percentiles(df.limit(0), "v", qs, ["g"]).count() == 0
+    assert list(bins.exact_percentiles(df.limit(0), "v", qs).first()) == [None] * len(qs)
 
 
 def test_slices_are_even_despite_ties(skewed):
