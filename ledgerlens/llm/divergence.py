@@ -24,7 +24,6 @@ empty table gives no rows."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -40,20 +39,25 @@ SCALE = 1_000_000_000
 TOP_TERMS = 10
 BLOCK_TERMS = 100_000
 PASS_BYTES = 64 << 20
-BLOCK_CELLS = 1 << 20
-_ROWS_AT_ONCE = 500
-_KEPT_COUNTS = 500_000
-_TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+BLOCK_CELLS = 1 << 18
+_ROWS_AT_ONCE = 1_000
+_KEPT_COUNTS = 1_000_000
 #: A byte of a term, A-Z lower-cased; 0 for a byte between terms.
 _LETTER = np.array([c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0 for c in range(256)], np.uint8)
+#: The same with spaces between terms.
+_SPACED = bytes(c or 0x20 for c in _LETTER.tolist())
 
 
 class Transducer:
     """Sorted terms (bytes, each once) as arcs: `key` is state * 256 + byte, sorted; `to` the state reached;
-    `add` the terms that sort before those beyond it; `accepts` by state. State 0 is the start."""
+    `add` the terms that sort before those beyond it; `accepts` by state. State 0 is the start. `bits` has for each
+    state the bytes it has arcs for, `rank` the arcs before each 64 of them, so an arc is found by counting bits."""
 
     def __init__(self, key: np.ndarray, to: np.ndarray, add: np.ndarray, accepts: np.ndarray):
         self.key, self.to, self.add, self.accepts = key, to, add, accepts
+        self.bits = np.zeros(4 * len(accepts), np.uint64)
+        np.bitwise_or.at(self.bits, key >> 6, np.uint64(1) << (key & 63).astype(np.uint64))
+        self.rank = np.concatenate(([0], np.cumsum(np.bitwise_count(self.bits), dtype=np.int32)))[:-1].astype(np.int32)
 
     @classmethod
     def build(cls, terms: Iterable[bytes]) -> Transducer:
@@ -121,11 +125,13 @@ class Transducer:
             done = over & (self.accepts[state] > 0)
             out[who[done]] = total[done]
             who, at, state, total = who[~over], at[~over], state[~over], total[~over]
-            wanted = state * 256 + letters[at]
-            arc = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
-            on = self.key[arc] == wanted
-            who, arc = who[on], arc[on]
-            state, total, at = self.to[arc].astype(np.int64), total[on] + self.add[arc], at[on] + 1
+            byte = letters[at]
+            word = state * 4 + (byte >> 6)
+            bit, held = np.uint64(1) << (byte & 63).astype(np.uint64), self.bits[word]
+            on = (held & bit) > 0
+            arc = self.rank[word[on]] + np.bitwise_count(held[on] & (bit[on] - np.uint64(1)))
+            who, at, total = who[on], at[on] + 1, total[on] + self.add[arc]
+            state = self.to[arc].astype(np.int64)
         return out
 
 
@@ -139,23 +145,20 @@ def document_counts(docs: DataFrame) -> DataFrame:
     def counted(batches) -> Iterator:
         import pyarrow as pa
 
-        def flush(counts: Counter):
-            langs, terms = zip(*counts) if counts else ((), ())
-            columns = [pa.array(langs, pa.string()), pa.array([t.decode("utf-8", "replace") for t in terms], pa.string())]
-            return pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts.values(), pa.int64())], names=["lang", "term", "docs"]
-            )
+        def flush(lang: str, counts: Counter):
+            terms = pa.array([t.decode("utf-8", "replace") for t in counts], pa.string())
+            columns = [pa.array([lang] * len(counts), pa.string()), terms, pa.array(counts.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs"])
 
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                # bytes.lower touches A-Z only
-                terms = set(_TERM.findall(text.encode("utf-8", "replace").lower()))
-                counts.update([(lang, t) for t in terms])
-                if len(counts) > _KEPT_COUNTS:
-                    yield flush(counts)
-                    counts.clear()
-        yield flush(counts)
+                own = counts.setdefault(lang, Counter())
+                own.update(set(text.encode("utf-8", "replace").translate(_SPACED).split()))
+                if len(own) > _KEPT_COUNTS:
+                    yield flush(lang, counts.pop(lang))
+        for lang, own in counts.items():
+            yield flush(lang, own)
 
     rows = _rows(docs).select("lang", "text").mapInArrow(counted, "lang string, term string, docs long")
     return rows.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
@@ -197,6 +200,54 @@ def passes(blocks: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list]:
             group, held = [*group, head], held + head["size"]
 
 
+def _terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' letters one after another, and where each term starts and ends in them, and its text's number."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    letters = _LETTER[np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)]
+    inside = letters > 0
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    ends_of = np.cumsum([len(r) + 1 for r in raw])
+    return letters, starts, ends, np.searchsorted(ends_of, starts, side="right")
+
+
+class OrdinalCounts:
+    """Occurrences by group (lang, source) and ordinal, added up in a task before they leave it."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fresh: list[np.ndarray] = []
+
+    def number(self, lang: str, source: str) -> int:
+        return self.groups.setdefault((lang, source), len(self.groups))
+
+    def add(self, groups: np.ndarray, ordinals: np.ndarray) -> None:
+        self.fresh.append(groups << 40 | ordinals)
+
+    def _merge(self) -> None:
+        keys, counts = np.unique(np.concatenate(self.fresh), return_counts=True) if self.fresh else (self.keys[:0], self.counts[:0])
+        every = np.concatenate((self.keys, keys))
+        order = np.argsort(every, kind="stable")
+        every, both = every[order], np.concatenate((self.counts, counts))[order]
+        begins = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        self.keys, self.counts = every[begins], np.add.reduceat(both, begins) if len(every) else both
+        self.fresh = []
+
+    def flushed(self, most: int) -> Iterator:
+        """Rows to be sent, if more than `most` have come together."""
+        import pyarrow as pa
+
+        if sum(map(len, self.fresh)) > most or not most:
+            self._merge()
+        if len(self.keys) > most:
+            names = np.array(list(self.groups), object).reshape(-1, 2)[self.keys >> 40]
+            columns = [pa.array(names[:, 0], pa.string()), pa.array(names[:, 1], pa.string())]
+            columns += [pa.array(self.keys & ((1 << 40) - 1)), pa.array(self.counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "ordinal", "count"])
+            self.__init__()
+
+
 def recount(docs: DataFrame, blocks: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """lang, source, ordinal, count of every kept term's occurrences: texts streamed through the transducers."""
     schema = "lang string, source string, ordinal long, count long"
@@ -205,33 +256,26 @@ def recount(docs: DataFrame, blocks: DataFrame, pass_bytes: int = PASS_BYTES) ->
         sent = docs.sparkSession.sparkContext.broadcast([(h["lang"], h["first"], bytes(h["raw"])) for h in held])
 
         def counted(batches, sent=sent) -> Iterator:
-            import pyarrow as pa
-
             of: dict[str, list[tuple[int, Transducer]]] = {}
             for lang, first, raw in sent.value:
                 of.setdefault(lang, []).append((first, Transducer.from_bytes(raw)))
+            counts = OrdinalCounts()
             for whole in batches:
                 for at in range(0, whole.num_rows, _ROWS_AT_ONCE):
-                    groups: dict[tuple[str, str], list[str]] = {}
+                    langs: dict[str, tuple[list[str], list[str]]] = {}
                     for lang, source, text in zip(*[c.to_pylist() for c in whole.slice(at, _ROWS_AT_ONCE).columns]):
-                        groups.setdefault((lang, source), []).append(text)
-                    for (lang, source), texts in groups.items():
-                        letters = _LETTER[np.frombuffer("\n".join(["", *texts, ""]).encode("utf-8", "replace"), np.uint8)]
-                        inside = letters > 0
-                        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-                        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+                        own = langs.setdefault(lang, ([], []))
+                        own[0].append(source)
+                        own[1].append(text)
+                    for lang, (sources, texts) in langs.items():
+                        letters, starts, ends, row = _terms_of(texts)
+                        groups = np.array([counts.number(lang, source) for source in sources], np.int64)
                         for first, transducer in of.get(lang, []):
                             found = transducer.ordinals(letters, starts, ends)
-                            ordinal, count = np.unique(found[found >= 0], return_counts=True)
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array([lang] * len(ordinal), pa.string()),
-                                    pa.array([source] * len(ordinal), pa.string()),
-                                    pa.array(ordinal + first),
-                                    pa.array(count.astype(np.int64)),
-                                ],
-                                names=["lang", "source", "ordinal", "count"],
-                            )
+                            kept = found >= 0
+                            counts.add(groups[row[kept]], found[kept] + first)
+                    yield from counts.flushed(_KEPT_COUNTS)
+            yield from counts.flushed(0)
 
         langs = sorted({h["lang"] for h in held})
         texts = rows.where(F.col("lang").isin(langs)).select("lang", "source", "text")
