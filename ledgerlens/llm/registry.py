@@ -47,10 +47,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.records(table(ready(spark), sf_dir, "pages"))
-    files = warc.file_count(archive.count())
     folder = f"{shared_folder(spark)}/llm/warc-{uuid.uuid4().hex}"
-    warc.write_warc(archive, files, f"{folder}/ours")
-    warc.write_warc(warc.damaged(archive), files, f"{folder}/theirs")
+    warc.write_warc(archive, f"{folder}/ours", *warc.layout(archive))
+    warc.copy_warc(spark, f"{folder}/ours", f"{folder}/theirs", warc.damage)
     return warc.audit(warc.read_manifest(spark, f"{folder}/ours"), warc.read_manifest(spark, f"{folder}/theirs"))
 
 

@@ -1,48 +1,51 @@
 """WARC archives with a Merkle fixity audit of replicas.
 
-Pages become WARC records; a file holds about `file_rows` records in page_id order. Every record has a
-SHA-256 digest. Over each file stands a tree: a node's digest is that of its children's digests in order,
-and a node covers the byte range from its first record's offset to its last record's end. Two replicas are
-compared root by root; only the children of differing nodes are compared on the next level down, until the
-differing records are found with their offsets.
-
-The query writes both replicas as files and takes their manifests from the files' bytes. The reader goes by
-Content-Length; where no blank lines follow there, a record is damaged and ends before the next head, so that
-the records after it are found. Heads are known by their version or by their type and id.
-
-Scale. Writing shuffles the records once a replica; a file is read as one row. Records are hashed where they
-are read, and only digests and lengths are shuffled then. Nodes have FANOUT children. The trees are tables in
-the shared folder, and the descent joins only nodes under differing ones.
+Pages become WARC records, each a gzip member of its own as is usual for WARC files, so that damage costs one
+record and a record is read from its place alone. Every record has a SHA-256 digest. Inside a file records stand
+in the order of the MD5 of their page_id, so a range of those is a range of offsets. Over each file stands a
+tree: a leaf covers the records whose MD5 starts with the same digits, and a node's digest is that of its
+children's digests in order; nodes carry the range of offsets they cover. Two replicas are compared root by root, and only the
+children of differing nodes on the next level down. As nodes go by key and not by number, a lost record changes
+the nodes above it and no other.
+
+The query writes the archive, makes a damaged copy of its files, and takes both manifests from the files' bytes.
+Where a member cannot be read, what its start still yields is the record, and reading goes on at the next member.
+
+Scale. Records are compressed before the one shuffle that deals them to files; a copy is made file by file. A file
+is closed after `file_bytes` of records, however many fall to its part; rows equal in all respects that make up
+more than 1 / HEAVY_SHARE of the archive are dealt by number, all others by a hash of page_id and digest, so that
+neither repeated, missing nor strided ids fill one part. Only digests and lengths are read back and shuffled then.
+A task holds a file. Trees are tables in the shared folder.
 
 Edge cases. A null url or body is empty, a null page_id counts as -1. Rows that share a page_id are
-records of their own. A lost or added record shifts the ranges after it; the pages in differing ranges are
-therefore matched whole, by how often each replica holds a digest, so unchanged ones are not reported. Of equal
-records the last of the file count as lost or added; what remains of a page is paired by its order of digests.
-Extra columns are ignored. A record whose id cannot be read counts as page -1. A record cut short whose body
-holds a whole head is taken as two. An empty replica loses every record; two empty ones give no rows."""
+records of their own. Pages in differing ranges are matched whole, by how often each replica holds a digest in
+a file, so unchanged ones are not reported. Of equal records the last of the file count as lost or added; what
+remains of a page is paired by its order of digests. Extra columns are ignored. A record whose id cannot be read
+counts as page -1. An empty replica loses every record; two empty ones give no rows."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.support import settle
 
-FILE_ROWS = 2_000
+FILE_BYTES = 8 << 20
+HEAVY_SHARE = 256
+#: Children of a node: a hexadecimal digit of the key.
 FANOUT = 16
 DATE = "2024-01-01T00:00:00Z"
 _BLANK = b"\r\n\r\n"
-_SIZE = re.compile(rb"(?im)^Content-Length: *(\d{1,15})")
 _ID = re.compile(rb"(?m)^WARC-Record-ID: <urn:page:(-?\d{1,19})>")
-# Blank lines before a head, of which the version or the first two fields are whole.
-_NEXT = re.compile(
-    rb"\r\n\r\n(?=WARC/1\.1\r\n[A-Za-z-]+: |[^\r\n]{0,16}\r\nWARC-Type: [^\r\n]*\r\nWARC-Record-ID: <urn:page:)"
-)
+#: The head of every member that is written here: deflate, no flags, no time.
+_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00"
+_CHUNK = 1 << 14
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -57,116 +60,126 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(page_id.alias("page_id"), F.concat(head, body).alias("record"))
 
 
-def file_count(rows: int, file_rows: int = FILE_ROWS) -> int:
-    return max(1, -(-rows // file_rows))
-
-
-def manifest(archive: DataFrame, files: int) -> DataFrame:
-    """file, seq, page_id, offset, length, digest of each record (page_id, record)."""
-    size = F.octet_length("record") + 4  # the blank lines that end a record
-    hashed = archive.select(
-        "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("digest"), size.cast("long").alias("length")
-    )
-    hashed = hashed.withColumn("file", F.pmod("page_id", F.lit(files)).cast("int"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
-    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return hashed.select(
-        "file", (F.row_number().over(order) - 1).alias("seq"), "page_id", before.alias("offset"), "length", "digest"
-    )
+def layout(archive: DataFrame, file_bytes: int = FILE_BYTES, heavy_share: int = HEAVY_SHARE) -> tuple[int, list[int]]:
+    """How many parts the archive is dealt to, and the hashes of rows so often repeated that they are dealt by
+    number: fewer than heavy_share of them."""
+    size = (F.octet_length("record") + 4).cast("long")
+    same = archive.groupBy(F.xxhash64("page_id", "record").alias("same")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    same = settle(same, "layout")
+    rows, total = same.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    heavy = [r["same"] for r in same.where(F.col("n") > 1 + rows // heavy_share).select("same").collect()]
+    return max(1, -(-total // file_bytes)), heavy
 
 
-def node_level(below: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """file, node, digest, offset, end: the nodes above a level of (file, node, digest, offset, end)."""
-    children = F.array_sort(F.collect_list(F.struct("node", "digest")))  # of one node: at most fanout
-    return below.groupBy("file", F.floor(F.col("node") / fanout).cast("int").alias("node")).agg(
-        F.sha2(F.array_join(children["digest"], "").cast("binary"), 256).alias("digest"),
-        F.min("offset").alias("offset"),
-        F.max("end").alias("end"),
-    )
+def _packed(record: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record + _BLANK) + packer.flush()
 
 
-def tree(leaves: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels of every file's tree, records first, the root last."""
-    out = [leaves.select("file", F.col("seq").alias("node"), "digest", "offset", (F.col("offset") + F.col("length")).alias("end"))]
-    for _ in range(levels):
-        out.append(node_level(out[-1], fanout))
-    return out
-
+def _write_files(rows: DataFrame, path: str) -> None:
+    """file, content: a file for each row, in a folder of its own. Zero bytes after a member are padding."""
+    text = rows.select("file", F.col("content").cast("string").alias("value"))  # bytes as they are
+    text.write.partitionBy("file").option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
-def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """file, node of nodes of one level that only one replica has or that differ."""
-    joined = ours.select("file", "node", F.col("digest").alias("a")).join(
-        theirs.select("file", "node", F.col("digest").alias("b")), ["file", "node"], "full"
-    )
-    return joined.where(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node")
 
+def write_warc(
+    archive: DataFrame, path: str, parts: int = 1, heavy: Sequence[int] = (), file_bytes: int = FILE_BYTES
+) -> None:
+    """WARC files of an archive dealt to `parts`. The n-th file of a part is file part + n * parts."""
+    digest = F.sha2(F.col("record").cast("binary"), 256)
+    spread = F.conv(F.substring(F.md5(F.concat_ws(":", "page_id", digest)), 1, 8), 16, 10).cast("long")
+    often = F.xxhash64("page_id", "record").isin([int(h) for h in heavy])
+    spread = F.when(often, F.monotonically_increasing_id()).otherwise(spread) if heavy else spread
+    placed = archive.select(F.pmod(spread, F.lit(parts)).alias("part"), F.md5(F.col("page_id").cast("string")).alias("range"), "page_id", digest.alias("digest"), F.col("record").cast("binary").alias("record"))
 
-def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Records that differ between two manifests: file, page_id, status (altered, missing, extra), offset and
-    length in each replica (ours, theirs) and both digests."""
-    ours, theirs = settle(ours, "ours"), settle(theirs, "theirs")
-    largest = max((m.agg(F.max("seq")).first()[0] or 0) + 1 for m in (ours, theirs))
-    levels = max(1, math.ceil(math.log(largest, fanout))) if largest > 1 else 1
-    a, b = tree(ours, levels, fanout), tree(theirs, levels, fanout)
-    wrong = settle(differing(a[levels], b[levels]), "roots")
-    for level in range(levels - 1, 0, -1):
-        parent = F.floor(F.col("node") / fanout).cast("int")
-        up = wrong.select("file", F.col("node").alias("parent"))
-        here = [t[level].withColumn("parent", parent).join(up, ["file", "parent"], "left_semi") for t in (a, b)]
-        wrong = settle(differing(*here), "nodes")
-    leaf = F.floor(F.col("seq") / fanout).cast("int")
-    up = wrong.select("file", F.col("node").alias("parent"))
-    key, record = ["file", "page_id"], ["file", "page_id", "digest"]
-    touched = [m.withColumn("parent", leaf).join(up, ["file", "parent"], "left_semi").select(*key) for m in (ours, theirs)]
-    touched = settle(touched[0].union(touched[1]).distinct(), "pages")
-    # All records of those pages: a run of equal digests may lie in equal nodes with both ends outside.
-    whole = [m.join(touched, key, "left_semi") for m in (ours, theirs)]
-    counts = [m.groupBy(*record).agg(F.count("*").alias(n)) for m, n in zip(whole, ("a", "b"))]
-    common = counts[0].join(counts[1], record, "full").na.fill(0, ["a", "b"]).where("a <> b")
-    common = settle(common.select(*record, F.least("a", "b").alias("common")), "counts")
-    sides = []
-    for side, rows in zip(("", "replica_"), whole):
-        equal, others = Window.partitionBy(*record).orderBy("seq"), Window.partitionBy(*key).orderBy("digest", "seq")
-        rows = rows.join(common, record).withColumn("n", F.row_number().over(equal)).where("n > common")
-        rows = rows.withColumn("copy", F.row_number().over(others))
-        sides.append(rows.select(*key, "copy", *[F.col(c).alias(side + c) for c in ("offset", "length", "digest")]))
-    joined = sides[0].join(sides[1], [*key, "copy"], "full")
-    status = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("altered")
-    return joined.select(
-        "file", "page_id", status.alias("status"), "offset", "length", "digest",
-        "replica_offset", "replica_length", "replica_digest",
-    )
-
+    def pack(batches) -> Iterator:
+        import pyarrow as pa
 
-def write_warc(archive: DataFrame, files: int, path: str) -> None:
-    """One folder per file, each of one WARC file in page_id order."""
-    placed = archive.withColumn("file", F.pmod("page_id", F.lit(files)).cast("int"))
-    placed = placed.withColumn("digest", F.sha2(F.col("record").cast("binary"), 256))
-    placed = placed.repartition("file").sortWithinPartitions("file", "page_id", "digest")
-    placed.select("file", F.col("record").alias("value")).write.partitionBy("file").option("lineSep", "\r\n\r\n").text(path)
+        for batch in batches:
+            found = batch.column("record").to_pylist()
+            sizes = pa.array([len(r) + 4 for r in found], pa.int64())
+            kept = [batch.column(c) for c in ("part", "range", "page_id", "digest")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, sizes, pa.array(map(_packed, found), pa.binary())],
+                names=["part", "range", "page_id", "digest", "size", "member"],
+            )
 
+    def fill(batches) -> Iterator:
+        import pyarrow as pa
 
-def _record_end(content: bytes, at: int) -> int:
-    """Where the record at `at` ends: by its Content-Length if blank lines follow there, else at the next head."""
-    blank = content.find(_BLANK, at)
-    sizes = _SIZE.findall(content, at, blank) if blank >= 0 else []
-    if sizes:
-        end = blank + 4 + int(sizes[-1])
-        framed = content[end : end + 4] == _BLANK
-        if framed and (end + 4 == len(content) or _NEXT.match(content, end) or not _NEXT.search(content, at, end)):
-            return end
-    if found := _NEXT.search(content, at):
-        return found.start()
-    return max(at, len(content) - 4) if content.endswith(_BLANK) else len(content)
+        part, before, file, content = None, 0, None, []
 
+        def closed():
+            raw = pa.array([b"".join(content)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), raw], names=["file", "content"])
 
-def parse_warc(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each record; after a damaged one it resumes at the next head."""
-    at = 0
+        for batch in batches:
+            for own, size, member in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "member"))):
+                if own != part:
+                    part, before = own, 0
+                wanted = part + before // file_bytes * parts
+                if content and wanted != file:
+                    yield closed()
+                    content = []
+                file, before = wanted, before + size
+                content.append(member)
+        if content:
+            yield closed()
+
+    packed = placed.mapInArrow(pack, "part long, range string, page_id long, digest string, size long, member binary")
+    order = ["part", "range", "page_id", "digest"]
+    filled = packed.repartition("part").sortWithinPartitions(*order).mapInArrow(fill, "file long, content binary")
+    _write_files(filled, path)
+
+
+def _read_member(content: memoryview, at: int) -> tuple[bytes, int | None]:
+    """The record of the member at `at` and where the member ends, None if it does not end well."""
+    unpacker, out, end = zlib.decompressobj(31), [], at
+    try:
+        while not unpacker.eof and end < len(content):
+            piece = content[end : end + _CHUNK]
+            out.append(unpacker.decompress(piece))
+            end += len(piece)
+    except zlib.error:
+        return b"".join(out), None
+    return b"".join(out), end - len(unpacker.unused_data) if unpacker.eof else None
+
+
+def _starts_member(content: memoryview, at: int) -> bool:
+    record, end = _read_member(content, at)
+    return end is not None or record.startswith(b"WARC/")
+
+
+def _salvaged(content: memoryview, at: int, end: int) -> bytes:
+    """What can still be unpacked, byte by byte, of a damaged member."""
+    unpacker, out = zlib.decompressobj(31), []
+    try:
+        for n in range(at, end):
+            out.append(unpacker.decompress(content[n : n + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def parse_warc(content: bytes) -> Iterator[tuple[int, int, bool, bytes]]:
+    """(start of the member, its end, whether it is whole, record) of each record; after a damaged one it goes on at
+    the next member."""
+    view, at = memoryview(content), 0
     while at < len(content):
-        end = _record_end(content, at)
-        yield at, content[at:end]
-        at = end + 4
+        record, end = _read_member(view, at)
+        whole = end is not None
+        if not whole:
+            end = content.find(_MEMBER, at + 1)
+            while end >= 0 and not _starts_member(view, end):  # those bytes can occur inside a member
+                end = content.find(_MEMBER, end + 1)
+            end = len(content) if end < 0 else end
+            if not any(view[at:end]):
+                return  # padding
+            record = _salvaged(view, at, end)
+        yield at, end, whole, record.removesuffix(_BLANK)
+        at = end
+        while at < len(content) and content[at] == 0 and not any(view[at : at + len(_MEMBER)]):
+            at += 1
 
 
 def _page_id(record: bytes) -> int:
@@ -175,51 +188,147 @@ def _page_id(record: bytes) -> int:
     return page_id if -(1 << 63) <= page_id < 1 << 63 else -1
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq, page_id, offset and record (raw bytes) of every record of an archive written by write_warc."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"/file=(\d+)/[^/]*$", 1).cast("long").alias("file"), "content")
+
+
+def copy_warc(spark: SparkSession, path: str, to: str, change: Callable[[int, bytes], bytes | None]) -> None:
+    """A copy of an archive, file by file, in which `change` gives the record of each page (None: lost)."""
+
+    def copied(batches) -> Iterator:
+        import pyarrow as pa
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["file"], batch["content"]):
-                offsets, rows = zip(*parse_warc(bytes(content)), strict=True) if len(content) else ((), ())
-                yield pd.DataFrame(
-                    {
-                        "file": pd.Series([file] * len(rows), dtype="int32"),
-                        "seq": pd.Series(range(len(rows)), dtype="int32"),
-                        "page_id": pd.Series([_page_id(r) for r in rows], dtype="int64"),
-                        "offset": pd.Series(offsets, dtype="int64"),
-                        "record": pd.Series(rows, dtype=object),
-                    }
-                )
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist()):
+                out = []
+                for at, end, _, record in parse_warc(content):
+                    new = change(_page_id(record), record)
+                    if new is not None:
+                        out.append(content[at:end] if new == record else _packed(new))
+                raw = pa.array([b"".join(out)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), raw], names=["file", "content"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.regexp_extract("path", r"/file=(\d+)/[^/]*$", 1).cast("int").alias("file"), "content")
-    return files.mapInPandas(parsed, "file int, seq int, page_id long, offset long, record binary")
+    _write_files(_files(spark, path).mapInArrow(copied, "file long, content binary"), to)
+
+
+def _parsed(spark: SparkSession, path: str, with_record: bool) -> DataFrame:
+    schema = "file long, seq long, page_id long, offset long, length long, member long, digest string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def read(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist()):
+                rows, offset = [], 0
+                for seq, (at, end, whole, record) in enumerate(parse_warc(content)):
+                    size = len(record) + 4
+                    # A damaged member is told from a whole one even if its record can still be unpacked.
+                    digest = hashlib.sha256(record if whole else content[at:end]).hexdigest()
+                    found = (file, seq, _page_id(record), offset, size, at, digest)
+                    rows.append((*found, record) if with_record else found)
+                    offset += size
+                if rows:
+                    columns = [pa.array(c) for c in zip(*rows)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "record"][: len(columns)])
+
+    return _files(spark, path).mapInArrow(read, schema + ", record binary" * with_record)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and record (as text) of every record of an archive written by write_warc."""
-    return read_records(spark, path).select("page_id", F.col("record").cast("string"))
+    """page_id and record (raw bytes) of every record of an archive."""
+    return _parsed(spark, path, True).select("page_id", "record")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of the files of an archive, with digests of their bytes and their offsets."""
-    rows = read_records(spark, path).withColumn("digest", F.sha2("record", 256))
-    length = (F.octet_length("record") + 4).cast("long").alias("length")
-    return rows.select("file", "seq", "page_id", "offset", length, "digest")
+    """file, seq, page_id, offset and length (of the unpacked archive), member (where its packed bytes start) and
+    digest of every record, and the range key of its page."""
+    return _parsed(spark, path, False).withColumn("range", F.md5(F.col("page_id").cast("string")))
+
+
+def tree(manifest: DataFrame, depth: int) -> list[DataFrame]:
+    """The levels of every file's tree, the root first: file, node (digits of the range key), digest, offset, end."""
+    leaf = F.array_sort(F.collect_list(F.struct("range", "page_id", "digest")))  # of a file: bounded by its size
+    listed = F.transform(leaf, lambda r: F.concat_ws(":", r["page_id"], r["digest"]))
+    span = [F.min("offset").alias("offset"), F.max("end").alias("end")]
+    leaves = manifest.withColumn("end", F.col("offset") + F.col("length"))
+    out = [
+        leaves.groupBy("file", F.substring("range", 1, depth).alias("node")).agg(
+            F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("digest"), *span
+        )
+    ]
+    for level in range(depth - 1, -1, -1):
+        children = F.array_sort(F.collect_list(F.struct("node", "digest")))  # no more than FANOUT
+        named = F.transform(children, lambda c: F.concat_ws(":", c["node"], c["digest"]))
+        out.append(
+            out[-1].groupBy("file", F.substring("node", 1, level).alias("up")).agg(
+                F.sha2(F.array_join(named, ",").cast("binary"), 256).alias("digest"), *span
+            ).withColumnRenamed("up", "node")
+        )
+    return out[::-1]
+
+
+def depth_for(records_of_largest_file: int) -> int:
+    """Digits of the key that leave a leaf some FANOUT records."""
+    return max(1, math.ceil(math.log(max(records_of_largest_file, 1) / FANOUT, FANOUT)))
+
+
+def differing_nodes(ours: DataFrame, theirs: DataFrame, depth: int) -> list[DataFrame]:
+    """file, node of the nodes that differ or that one replica lacks, level by level, the root first. Below the root
+    only children of differing nodes are compared."""
+    a, b, out = tree(ours, depth), tree(theirs, depth), []
+    for level in range(depth + 1):
+        here = [t[level] for t in (a, b)]
+        if level:
+            up = out[-1].select("file", F.col("node").alias("parent"))
+            parent = F.substring("node", 1, level - 1)
+            here = [t.withColumn("parent", parent).join(up, ["file", "parent"], "left_semi") for t in here]
+        one, two = (t.select("file", "node", F.col("digest").alias(name)) for t, name in zip(here, "xy"))
+        wrong = one.join(two, ["file", "node"], "full").where(~F.col("x").eqNullSafe(F.col("y")))
+        out.append(settle(wrong.select("file", "node"), "nodes"))
+    return out
+
+
+def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Records that differ between two manifests: file, page_id, status (altered, missing, extra), offset and
+    length in each replica (ours, theirs) and both digests."""
+    ours, theirs = settle(ours, "ours"), settle(theirs, "theirs")
+    sizes = [m.groupBy("file").count().agg(F.max("count")).first()[0] or 0 for m in (ours, theirs)]
+    depth = depth_for(max(sizes))
+    leaves = differing_nodes(ours, theirs, depth)[-1]
+    key, record = ["file", "page_id"], ["file", "page_id", "digest"]
+    # A page's records in a file share a leaf.
+    whole = [m.withColumn("node", F.substring("range", 1, depth)).join(leaves, ["file", "node"], "left_semi") for m in (ours, theirs)]
+    whole = [settle(m, "pages") for m in whole]
+    counts = [m.groupBy(*record).agg(F.count("*").alias(n)) for m, n in zip(whole, ("a", "b"))]
+    common = counts[0].join(counts[1], record, "full").na.fill(0, ["a", "b"]).where("a <> b")
+    common = settle(common.select(*record, F.least("a", "b").alias("common")), "counts")
+    sides = []
+    for side, rows in zip(("", "replica_"), whole):
+        equal, others = Window.partitionBy(*record).orderBy("seq"), Window.partitionBy(*key).orderBy("digest", "seq")
+        rows = rows.join(common, record).withColumn("n", F.row_number().over(equal)).where("n > common")
+        rows = rows.withColumn("copy", F.row_number().over(others))
+        sides.append(rows.select(*key, "copy", *[F.col(c).alias(side + c) for c in ("offset", "length", "digest")]))
+    joined = sides[0].join(sides[1], [*key, "copy"], "full")
+    status = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("altered")
+    return joined.select(
+        "file", "page_id", status.alias("status"), "offset", "length", "digest",
+        "replica_offset", "replica_length", "replica_digest",
+    )
 
 
 # The query's second replica: some pages are altered, some cut short, some lost.
 ALTERED, CUT, LOST = 97, 101, 103
 
 
-def damaged(archive: DataFrame) -> DataFrame:
-    """The replica that the query audits: records damaged by a rule on page_id."""
-    record = F.when(F.pmod("page_id", F.lit(ALTERED)) == 7, F.concat(F.lit("X"), F.expr("substring(record, 2)")))
-    record = record.when(F.pmod("page_id", F.lit(CUT)) == 11, F.expr("substring(record, 1, length(record) - 10)"))
-    return archive.where(F.pmod("page_id", F.lit(LOST)) != 13).select(
-        "page_id", record.otherwise(F.col("record")).alias("record")
-    )
+def damage(page_id: int, record: bytes) -> bytes | None:
+    """The record of the replica that the query audits, by a rule on page_id."""
+    if page_id % LOST == 13:
+        return None
+    if page_id % ALTERED == 7:
+        return b"X" + record[1:]
+    return record.decode()[:-10].encode() if page_id % CUT == 11 else record
 
 
 def oracle() -> str:
@@ -230,15 +339,18 @@ with a as (select coalesce(page_id, -1) as page_id, 'WARC/1.1' || {n} || 'WARC-T
     || 'WARC-Record-ID: <urn:page:' || coalesce(page_id, -1) || '>' || {n} || 'WARC-Date: {DATE}' || {n}
     || 'WARC-Target-URI: ' || coalesce(url, '') || {n} || 'Content-Type: text/html' || {n} || 'Content-Length: '
     || strlen(coalesce(html, '')) || {n} || {n} || coalesce(html, '') as record from pages),
-f as (select greatest(1, cast(ceil(count(*) / {FILE_ROWS}.0) as bigint)) as files from a),
-b as (select page_id, case when page_id % {ALTERED} = 7 then 'X' || substr(record, 2)
+m as (select page_id, record, strlen(record) + 4 as length, sha256(record) as digest, md5(page_id::varchar) as range from a),
+p as (select *, ('0x' || substr(md5(page_id || ':' || digest), 1, 8))::bigint % parts as part
+    from m, (select greatest(1, cast(ceil(sum(length) / {FILE_BYTES}.0) as bigint)) as parts from m)),
+f as (select *, sum(length) over (partition by part order by range, page_id, digest) - length as before from p),
+ao as (select *, part + before // {FILE_BYTES} * parts as file, before - min(before)
+    over (partition by part, before // {FILE_BYTES}) as o from f),
+b as (select file, page_id, range, digest as was, case when page_id % {ALTERED} = 7 then 'X' || substr(record, 2)
     when page_id % {CUT} = 11 then substr(record, 1, length(record) - 10) else record end as record
-    from a where page_id % {LOST} <> 13),
-am as (select page_id, cast(page_id % files as integer) as file, strlen(record) + 4 as length, sha256(record) as digest from a, f),
-bm as (select page_id, cast(page_id % files as integer) as file, strlen(record) + 4 as length, sha256(record) as digest from b, f),
-ao as (select *, sum(length) over (partition by file order by page_id) - length as o from am),
-bo as (select *, sum(length) over (partition by file order by page_id) - length as o from bm)
-select ao.file, ao.page_id, case when bo.page_id is null then 'missing' else 'altered' end as status,
+    from ao where page_id % {LOST} <> 13),
+bm as (select *, strlen(record) + 4 as length, sha256(record) as digest from b),
+bo as (select *, sum(length) over (partition by file order by range, page_id, was) - length as o from bm)
+select cast(ao.file as bigint) as file, ao.page_id, case when bo.page_id is null then 'missing' else 'altered' end as status,
     cast(ao.o as bigint) as offset, cast(ao.length as bigint) as length, ao.digest, cast(bo.o as bigint) as replica_offset,
     cast(bo.length as bigint) as replica_length, bo.digest as replica_digest
 from ao left join bo on ao.page_id = bo.page_id where bo.page_id is null or ao.digest <> bo.digest"""
