@@ -57,6 +57,114 @@ def test_mixed_contexts_discover_nothing(docs_of):
     assert pii.find_spans(docs).where("doc_id = 99").first().spans == []
 
 
+def many_seeds(docs_of, extra):
+    """Thirty calls and thirty letters with known kinds, in one context each, and texts to be searched."""
+    calls = [(i, f"for more of this call me at +1 (017) 555-{1000 + i} before noon") for i in range(30)]
+    letters = [(100 + i, f"and you may write to user{i}@example.com for details") for i in range(30)]
+    starts = [(200 + i, f"+44 20 7946 {1000 + i} is the line of the desk") for i in range(30)]
+    return docs_of(calls + letters + starts + [(1000 + n, t) for n, t in enumerate(extra)])
+
+
+def found_texts(docs):
+    texts = {(r.doc_id): r.text for r in docs.collect()}
+    return {r.doc_id: sorted((s["kind"], texts[r.doc_id][s["start"] : s["end"]]) for s in r.spans) for r in pii.find_spans(docs).collect()}
+
+
+def test_unseen_identifiers_of_any_length_and_form(docs_of):
+    long_one = "7" * 70
+    docs = many_seeds(
+        docs_of,
+        [
+            "you can call me at 555 123 4567 before noon",
+            "you can call me at (020) 794 0958 before noon",
+            "you can call me at (020)7940958 before noon",
+            f"you can call me at {long_one} before noon",
+            f"you can call me at {'x' * 200}1 before noon",
+            "as said write to jane at example dot com for details",
+            "as said write to jane(at)example7 for details",
+            "0207 946 0000 is the line of the desk",
+            "call me at - 555 99 before noon",
+            "nothing here in 2024 but 12 words and 3 more",
+        ],
+    )
+    got = found_texts(docs)
+    assert [got[1000 + n] for n in range(10)] == [
+        [(3, "555 123 4567")],
+        [(3, "(020) 794 0958")],
+        [(3, "(020)7940958")],
+        [(3, long_one)],
+        [(3, "x" * 200 + "1")],
+        [(0, "jane at example dot com")],
+        [(0, "jane(at)example7")],
+        [(3, "0207 946 0000")],
+        [(3, "555 99")],
+        [],
+    ]
+
+
+def test_a_pattern_that_points_to_much_else_takes_no_words(docs_of):
+    others = [f"then write to {w} for details" for w in "alpha beta gamma delta kappa omega sigma theta lambda zeta".split()]
+    got = found_texts(many_seeds(docs_of, others))
+    assert all(got[1000 + n] == [] for n in range(len(others)))
+
+
+def test_blocks_of_patterns_find_the_same(docs_of):
+    docs = many_seeds(docs_of, ["as said write to jane at example dot com for details", "do call me at home before noon"])
+    one, many = ({r.doc_id: r.spans for r in pii.find_spans(docs, block_chars=n).collect()} for n in (10**6, 20))
+    assert one == many and one[1000] and one[1001]
+
+
+def test_words_around_a_place_are_whole():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("ab .,-\n") * rng.choice([1, 1, 1, 90]) for _ in range(rng.randint(1, 40)))
+        at = rng.randrange(len(text) + 1)
+        named = lambda part: [w for p in part.split() if (w := pii._plain(p))]
+        assert pii._words_before(text, at, 2) == named(text[:at])[-2:]
+        assert pii._words_after(text, at, 2) == named(text[at:])[:2]
+
+
+def brute_patterns(edges, rounds, confidence, min_seeds):
+    size, scored, out = {}, {}, {}
+    for p, x, _ in edges:
+        size.setdefault(p, set()).add(x)
+    unseen = {(p, x) for p, x, k in edges if k < 0}
+    seeds = {(p, x, k): 1.0 for p, x, k in edges if k >= 0}
+    scored = dict(seeds)
+    for _ in range(rounds):
+        weight = {}
+        for (p, _x, k), score in scored.items():
+            weight[p, k] = weight.get((p, k), 0) + score
+        out = {(p, k): min(1.0, w / len(size[p])) for (p, k), w in weight.items() if w >= min_seeds}
+        out = {key: c for key, c in out.items() if c >= confidence}
+        doubt = {}
+        for p, x in unseen:
+            for (q, k), c in out.items():
+                if q == p:
+                    doubt[x, k] = doubt.get((x, k), 1.0) * max(1e-9, 1 - c)
+        scored = dict(seeds)
+        for p, x in unseen:
+            for (y, k), d in doubt.items():
+                if y == x:
+                    scored[p, x, k] = 1 - d
+    return out
+
+
+def test_graph_scores_equal_brute_force(spark):
+    rng = random.Random(6)
+    edges = set()
+    for p in range(25):
+        for x in rng.sample(range(60), rng.randint(3, 14)):
+            edges.add((f"p{p}", f"x{x}", x % 4 - 1 if p % 3 else (x % 2) - 1))
+    # A surface that is a seed of one kind keeps it in every pattern.
+    frame = spark.createDataFrame(sorted(edges), "pattern string, surface string, kind int")
+    for rounds, confidence, least in ((1, 0.5, 2), (3, 0.4, 2), (4, 0.6, 1)):
+        got = {(r.pattern, r.kind): r.confidence for r in pii.confident_patterns(frame, rounds, confidence, least).collect()}
+        wanted = brute_patterns(edges, rounds, confidence, least)
+        assert got.keys() == wanted.keys() and wanted
+        assert all(abs(got[k] - wanted[k]) < 1e-9 for k in wanted)
+
+
 def test_redact_keeps_rows_and_columns(docs_of):
     docs = docs_of([(1, "é mail a@b.de, then 10.0.0.1!"), (1, "no data"), (2, None), (None, "b@c.de"), (3, "b@c.de"), (3, "b@c.de")])
     docs = docs.selectExpr("*", "1 as spans", "2 as version", "3 as base")
