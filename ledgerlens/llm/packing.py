@@ -3,11 +3,11 @@
 A document's ids end with an end id. Documents longer than a sequence are cut into full pieces and a rest;
 full pieces are sequences of their own. All other pieces are packed whole: a hash deals them to blocks of
 about `block_items` pieces, and each block is packed by islands, small populations of packings that evolve
-apart. A child takes over the well-filled bins of one parent whole, then those bins of the other parent that
-hold no piece twice; the pieces left over are placed by best fit, largest first. After each round the best
-packing of an island migrates to the next island of its block, and the best of the last round wins. Bins
-that stay under `well_filled` are opened once more and their pieces, few by then, are packed again in blocks
-of their own, so that blocks do not cost a half-empty sequence each.
+apart. A child takes over bins of one parent whole, the better filled ones, then those bins of the other parent
+that hold no piece twice; the pieces left over are placed by best fit, largest first. Islands breed until no packing
+could be smaller, or until generations bring nothing better. After each round the best packing of an island migrates to the next island of its block, and the best of the last round wins. Bins
+that stay under `well_filled` and under what is usual in their block are opened once more and their pieces are packed
+again in blocks of their own, so that blocks do not cost a half-empty sequence each.
 
 Scale. A block is bounded by the hash and its count, whatever the table holds; islands of all blocks evolve
 side by side and exchange only bin numbers. Texts are read once, and only lengths and checksums travel.
@@ -33,8 +33,12 @@ END_ID = 1
 BLOCK_ITEMS = 6_000
 ISLANDS = 2
 ROUNDS = 2
-POPULATION = 4
-GENERATIONS = 4
+POPULATION = 8
+GENERATIONS = 120
+#: Generations without a better packing after which a round ends.
+PATIENCE = 40
+#: Bins that are as full as this part of their parent's bins are taken over whole.
+INJECTED = 0.8
 WELL_FILLED = 0.995
 
 Bins = list[list[int]]
@@ -90,9 +94,12 @@ def fitness(sizes: list[int], bins: Bins) -> tuple[int, int]:
     return len(bins), -sum(sum(sizes[i] for i in b) ** 2 for b in bins)
 
 
-def crossover(sizes: list[int], capacity: int, first: Bins, second: Bins, rng: random.Random, keep: float) -> Bins:
-    """A child with well-filled bins of `first` injected whole into `second`."""
-    filled = [b for b in first if sum(sizes[i] for i in b) >= keep * capacity]
+def crossover(sizes: list[int], capacity: int, first: Bins, second: Bins, rng: random.Random) -> Bins:
+    """A child with well-filled bins of `first` injected whole into `second`. What is well filled goes by the
+    parent's own bins, so there is something to inject however hard the pieces are to pack."""
+    fills = [sum(sizes[i] for i in b) for b in first]
+    keep = sorted(fills)[int(len(fills) * (1 - INJECTED))]
+    filled = [b for b, fill in zip(first, fills) if fill >= keep]
     injected = [b for b in filled if rng.random() < 0.7] or filled[:1]
     taken = bytearray(len(sizes))
     for b in injected:
@@ -104,10 +111,10 @@ def crossover(sizes: list[int], capacity: int, first: Bins, second: Bins, rng: r
             displaced += [i for i in b if not taken[i]]
         else:
             child.append(b)
-    # Poor bins give up their pieces too: best fit finds them other company.
+    # Some poor bins give up their pieces too: best fit finds them other company.
     kept = []
     for b in child:
-        if sum(sizes[i] for i in b) < keep * capacity and rng.random() < 0.5:
+        if sum(sizes[i] for i in b) < keep and rng.random() < 0.5:
             displaced += b
         else:
             kept.append(b)
@@ -117,24 +124,29 @@ def crossover(sizes: list[int], capacity: int, first: Bins, second: Bins, rng: r
 
 
 def evolve(
-    sizes: list[int], capacity: int, seed: int, given: list[Bins], population: int, generations: int, keep: float
+    sizes: list[int], capacity: int, seed: int, given: list[Bins], population: int, generations: int, patience: int
 ) -> Bins:
     """One island's round: a population from the given packings, its own and mixed ones, bred by crossover."""
     rng = random.Random(seed)
     falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     floor = -(-sum(sizes) // capacity)
     pool = [*given] or [best_fit(sizes, falling, capacity)]
+    if min(map(len, pool)) <= floor:  # no packing has fewer bins
+        return min(pool, key=lambda b: fitness(sizes, b))
     while len(pool) < population:
         jitter = 0.05 * len(pool)
         order = sorted(falling, key=lambda i: -sizes[i] * (1 + rng.uniform(-jitter, jitter)))
         pool.append(best_fit(sizes, order, capacity))
     pool = sorted(((fitness(sizes, b), n, b) for n, b in enumerate(pool)))
+    best, idle = pool[0][0], 0
     for n in range(generations):
-        if pool[0][0][0] <= floor:  # no packing has fewer bins
+        if best[0] <= floor or idle >= patience:
             break
         first, second = rng.sample(range(len(pool)), 2)
-        child = crossover(sizes, capacity, pool[min(first, second)][2], pool[max(first, second)][2], rng, keep)
+        child = crossover(sizes, capacity, pool[min(first, second)][2], pool[max(first, second)][2], rng)
         pool = sorted([*pool[:-1], (fitness(sizes, child), len(pool) + n, child)])
+        idle = idle + 1 if pool[0][0] == best else 0
+        best = pool[0][0]
     return pool[0][2]
 
 
@@ -146,7 +158,8 @@ def _bins_of(column: pd.Series) -> Bins:
 
 
 def pack_blocks(items: DataFrame, capacity: int, blocks: int, settings: dict) -> DataFrame:
-    """item, length, block, bin, offset, filled: the best packing of each block of items (item, length)."""
+    """item, length, block, bin, offset, filled (of its bin), typical (median of its block's bins): the best packing of
+    each block of items (item, length)."""
     islands = settings["islands"]
     placed = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
     state = placed.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
@@ -160,7 +173,7 @@ def pack_blocks(items: DataFrame, capacity: int, blocks: int, settings: dict) ->
             given = [_bins_of(rows[c]) for c in ("own", "guest") if rows[c].notna().all()]
             seed = (int(rows["block"][0]) * 1_009 + int(rows["island"][0])) * 31 + number
             bins = evolve(
-                sizes, capacity, seed, given, settings["population"], settings["generations"], settings["well_filled"]
+                sizes, capacity, seed, given, settings["population"], settings["generations"], settings["patience"]
             )
             number_of = [0] * len(sizes)
             for at, b in enumerate(bins):
@@ -192,10 +205,11 @@ def pack_blocks(items: DataFrame, capacity: int, blocks: int, settings: dict) ->
         by_bin = rows.groupby("bin")["length"]
         rows["offset"] = by_bin.cumsum() - rows["length"]
         rows["filled"] = by_bin.transform("sum")
-        return rows[["item", "length", "block", "bin", "offset", "filled"]]
+        rows["typical"] = int(by_bin.sum().median())
+        return rows[["item", "length", "block", "bin", "offset", "filled", "typical"]]
 
     return chosen.groupBy("block").applyInPandas(
-        laid_out, "item long, length long, block int, bin int, offset long, filled long"
+        laid_out, "item long, length long, block int, bin int, offset long, filled long, typical long"
     )
 
 
@@ -209,12 +223,13 @@ def pack(
     rounds: int = ROUNDS,
     population: int = POPULATION,
     generations: int = GENERATIONS,
+    patience: int = PATIENCE,
     well_filled: float = WELL_FILLED,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     settings = {
         "islands": islands, "rounds": rounds, "population": population,
-        "generations": generations, "well_filled": well_filled,
+        "generations": generations, "patience": patience,
     }
     cut = settle(split_documents(docs, tokenizer, capacity, end_id), "pieces")
     pieces = settle(cut.withColumn("item", F.monotonically_increasing_id()), "numbered")
@@ -227,7 +242,7 @@ def pack(
         if not count:
             break
         packed = settle(pack_blocks(rest, capacity, -(-count // block_items), settings), "packed")
-        poor = F.lit(False) if again else F.col("filled") < well_filled * capacity
+        poor = F.lit(False) if again else F.col("filled") < F.least(F.lit(well_filled * capacity), "typical")
         number = (F.col("block").cast("long") * block_items * 16 + F.col("bin")) * 3 + (2 if again else 1)
         parts.append(packed.where(~poor).select("item", number.alias("sequence_id"), "offset"))
         rest = packed.where(poor).select("item", "length")

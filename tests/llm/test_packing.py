@@ -42,7 +42,7 @@ def test_evolution_keeps_every_piece_once_and_never_worsens(seed):
     rng = random.Random(seed)
     sizes = [rng.choice([rng.randint(1, 60), rng.randint(300, 700)]) for _ in range(200)]
     first = packing.best_fit(sizes, sorted(range(200), key=lambda i: -sizes[i]), 1000)
-    last = packing.evolve(sizes, 1000, seed, [first], 5, 12, 0.98)
+    last = packing.evolve(sizes, 1000, seed, [first], 5, 12, 6)
     assert sorted(i for b in last for i in b) == list(range(200))
     assert all(sum(sizes[i] for i in b) <= 1000 for b in last)
     assert packing.fitness(sizes, last) <= packing.fitness(sizes, first)
@@ -50,10 +50,22 @@ def test_evolution_keeps_every_piece_once_and_never_worsens(seed):
 
 def test_crossover_injects_whole_bins():
     sizes = [5, 5, 4, 6, 3, 7]
-    child = packing.crossover(sizes, 10, [[0, 1], [2, 3], [4, 5]], [[0, 2], [1, 3], [4, 5]], random.Random(1), 1.0)
+    child = packing.crossover(sizes, 10, [[0, 1], [2, 3], [4, 5]], [[0, 2], [1, 3], [4, 5]], random.Random(1))
     assert sorted(i for b in child for i in b) == list(range(6)) and len(child) == 3
 
 
+@pytest.mark.parametrize("low, high, gain", [(700, 1_900, 10), (1_300, 2_500, 3)])
+def test_search_needs_fewer_sequences_than_best_fit_where_pieces_are_large(low, high, gain, monkeypatch):
+    rng, calls = random.Random(low), []
+    sizes = [rng.randint(low, high) for _ in range(2_000)]
+    first = packing.best_fit(sizes, sorted(range(2_000), key=lambda i: -sizes[i]), 4_096)
+    plain = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or plain(*a))
+    last = packing.evolve(sizes, 4_096, 3, [], packing.POPULATION, packing.GENERATIONS, packing.PATIENCE)
+    assert sorted(i for b in last for i in b) == list(range(2_000)) and max(sum(sizes[i] for i in b) for b in last) <= 4_096
+    assert len(last) <= len(first) - gain and len(calls) > 10
+
+
 def test_small_blocks_pack_everything(docs_of):
     rng = random.Random(8)
     docs = docs_of([(i, "word " * rng.randint(0, 90)) for i in range(120)])
