@@ -287,13 +287,14 @@ def repeated_spans(docs: DataFrame, outline: DataFrame, window: int = WINDOW, gr
     # One row for each text, of its first document; the other documents with that text are covered whole.
     texts = outline.where(F.size("anchors") > 0).groupBy("key").agg(F.min("id").alias("id"), F.first("anchors").alias("anchors"))
     places = settle(texts.select("key", "id", F.inline("anchors")), "anchors")
+    # Written first, so that adaptive execution can split the hot keys of the joins.
     met = places.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("anchor")
-    shared = settle(places.join(met, "anchor"), "shared")
+    shared = settle(places.join(settle(met, "met"), "anchor"), "shared")
     classes = settle(shared.groupBy("anchor", "passage").agg(F.min("id").alias("source")), "classes")
-    sizes = classes.groupBy("anchor").agg(F.count("*").alias("n"))
+    sizes = settle(classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     owned = shared.join(classes, ["anchor", "passage"])
     whole = owned.where("id > source").select("key", "id", "start", "end")
-    first = owned.where("id = source").join(sizes.where("n > 1"), "anchor")
+    first = owned.where("id = source").join(sizes, "anchor")
     first = settle(first.select("key", "id", "anchor", "passage", "start", "end", (F.col("n") > group).alias("crowded")), "first")
     held = settle(passages_of(docs, first, window), "passages")
 
