@@ -10,6 +10,10 @@ holds as many of the item's five-letter pieces as e edits must leave (each edit
 Scale. One pass over the texts without a shuffle. Only test items are broadcast, in blocks of at most
 `block_chars` characters; more items take more passes, never a larger broadcast.
 
+An item under 1 / error_rate characters allows no edit. It is found between word ends only, never inside a
+word, and as a word or two are no passage, `clean` drops a document for an item under `least_chars` characters
+only if its text is nothing else; `matches` reports it wherever it stands.
+
 Edge cases. Null or empty items and texts match nothing, nor do items without a letter or digit. Equal
 items are reported each under its own item_id. Repeated rows of docs give equal matches, reported once per
 doc_id by `matches`; rows without doc_id are reported under null. Extra columns are kept by `clean`. Empty
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.1
+LEAST_CHARS = 10
 BLOCK_CHARS = 4_000_000
 SHORT = 5
 _WORD = re.compile(r"[^\W_]+")
@@ -122,6 +127,11 @@ class Items:
             for number, at in where:
                 begin = last - size + 1 - at  # where the item would start without edits before the piece
                 item, errors = self.items[number][:2]
+                if not errors:
+                    edges = text[begin - 1 : begin] if begin else " ", text[last + 1 : last + 2] or " "
+                    if edges == (" ", " ") and number not in best:
+                        best[number] = (0, begin, last + 1)
+                    continue
                 # Starts that differ by up to the budget share a window that holds all their passages.
                 slot = begin // (errors + 1)
                 if (number, slot) in done:
@@ -136,6 +146,10 @@ class Items:
                         best[number] = found
         return [(number, *found) for number, found in sorted(best.items())]
 
+    def leaks(self, text: str, least_chars: int) -> bool:
+        """Whether a normal text holds a passage of an item, or is itself an item under least_chars."""
+        return text in self.ids or any(len(self.items[n][0]) >= least_chars for n, *_ in self.passages(text))
+
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[int | None, str]]]:
     """The normal texts of the items, in blocks of about block_chars characters (more for one longer item)."""
@@ -181,8 +195,9 @@ def matches(
 
 
 def clean(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
+    least_chars: int = LEAST_CHARS,
+) -> DataFrame:
     """The rows of docs whose text holds no passage of any item; columns unchanged."""
     out = docs
     for rows in item_blocks(benchmark, block_chars):
@@ -194,7 +209,7 @@ def clean(
             items = held()
             for batch in batches:
                 texts = batch.column("text").to_pylist()
-                keep = [not items.passages(normal(t)) for t in texts]
+                keep = [not items.leaks(normal(t), least_chars) for t in texts]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(kept, out.schema)

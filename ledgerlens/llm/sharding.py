@@ -70,7 +70,9 @@ def slot_of(key, slots: int = SLOTS):
 
 
 def place(rows: DataFrame, key: str, table: Sequence[int]) -> DataFrame:
-    """rows with their slot and shard."""
+    """rows with their slot and shard; the key itself cannot have one of these names."""
+    if key in ("slot", "shard"):
+        raise ValueError(f"the key column is named {key!r}, as a column of the result is: rename it first")
     keyed = rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(f"`{key}`"), len(table)))
     lookup = table_frame(rows.sparkSession, table)
     return keyed.join(F.broadcast(lookup), "slot").select(*keyed.columns, "shard")  # bounded by MAX_SLOTS

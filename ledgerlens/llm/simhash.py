@@ -240,8 +240,8 @@ def simhash_components(
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """One document of each component, the one that names it; columns unchanged. Of different texts under
-    that doc_id the one with the least hash stays, of equal rows one. In a component without any doc_id one
-    row of each different text stays."""
+    that doc_id the one with the least hash stays; of rows of one text the one whose columns come first as
+    JSON. In a component without any doc_id one row of each different text stays."""
     found = settle(simhash_components(docs, **settings).where("doc_id <=> component_id"), "named")
     least = F.min("version").over(Window.partitionBy("doc_id"))
     stay = found.where("doc_id is not null").groupBy("doc_id", "version").count()
@@ -256,6 +256,8 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     out = rows(stay.where("count = 1"))
     repeated = stay.where("count > 1")
     if repeated.head(1):
-        copies = rows(repeated).withColumn("_version", _version("text"))
-        out = out.union(copies.dropDuplicates(["doc_id", "_version"]).drop("_version"))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        # Combined before the shuffle, however often a row is repeated.
+        least = rows(repeated).groupBy("doc_id", _version("text").alias("v")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+        out = out.union(least.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
     return out

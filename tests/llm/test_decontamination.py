@@ -89,3 +89,12 @@ def test_odd_tables(spark, docs_of, odd_docs):
     assert dec.matches(docs_of([]), odd).count() == 0
     extra = odd_docs.selectExpr("*", "1 as item_id", "2 as distance", "3 as passage")
     assert dec.clean(extra, odd).columns == extra.columns and dec.matches(extra, odd).count() == 2
+
+
+def test_short_items_stand_between_word_ends_and_drop_no_text(spark, docs_of):
+    benchmark = spark.createDataFrame([(1, "cat"), (2, "a"), (3, "Yes!"), (4, "quick brown fox")], "item_id long, text string")
+    docs = docs_of([(1, "Concatenate banana"), (2, "the cat, a dog"), (3, "cat"), (4, " yes. "), (5, "one quick brown fox"), (6, "yesterday")])
+    found = {(r.doc_id, r.item_id, r.passage) for r in dec.matches(docs, benchmark).collect()}
+    assert found == {(2, 1, "cat"), (2, 2, "a"), (3, 1, "cat"), (4, 3, "yes"), (5, 4, "quick brown fox")}
+    assert {r.doc_id for r in dec.clean(docs, benchmark).collect()} == {1, 2, 6}
+    assert {r.doc_id for r in dec.clean(docs, benchmark, least_chars=1).collect()} == {1, 6}

@@ -112,6 +112,18 @@ def test_extra_columns_with_clashing_names(docs_of):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_repeated_rows_with_any_column_names(spark):
+    from ledgerlens.llm.support import ready
+
+    rows = [(1, "a b c d e", "z", {"k": 1}), (1, "a b c d e", "y", {"k": 2}), (1, "a b c d e", None, {"k": 3}), (2, "other words stand in here", "x", None)]
+    docs = ready(spark).createDataFrame(rows * 3, "doc_id long, text string, _version string, row map<string, int>").repartition(4)
+    docs = docs.selectExpr("*", "1 as v", "2 as least", "3 as `count`", "4 as `d`", "5 as `a.b`", "6 as p")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    # Of rows of one text the one whose columns come first as JSON, where a missing one is left out.
+    assert sorted((r.doc_id, r._version) for r in kept.collect()) == [(1, "y"), (2, "x")]
+
+
 def test_chain_of_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200 + i, 150) for i in range(40)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
