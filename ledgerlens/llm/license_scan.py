@@ -5,9 +5,11 @@ of shingles overlap, by half from two shingles on, and come in the sizes of SCAL
 largest size of which it holds a window and a half, so license texts go by windows of 16 shingles, notices of a line
 by windows of 4 or 2, and a notice of five words by its one shingle. Templates have the same windows at every
 place, so wherever a text quotes a template over a window and a half, one of its windows starts where a template
-window starts. Each window has BANDS MinHash values of one row each; equal values in any band retrieve the
-template. At 80 % of shingles in common, windows have a Jaccard similarity near 0.67 and meet in one of six
-bands with probability 0.998, and a quoted template has several windows. Every retrieved template is then
+window starts. A window has MinHash values of one row each, one for each band; equal values in any band retrieve the
+template. For windows of 16 there are six bands: at 80 % of shingles in common they have a Jaccard similarity near
+0.67 and meet with probability 0.998, and a quoted template has several windows. For smaller ones a single band meets
+for certain: one word changed inside costs five shingles, more than a template of fewer than 24 may lose, so what
+passes has lost some at its ends only and keeps whole windows unchanged. Every retrieved template is then
 verified: the share of its distinct shingles that the text holds must reach `containment`. Of templates that share
 half of their shingles, as licenses of one family do, only the best contained are reported.
 
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 CONTAINMENT = 0.8
 SCALES = (1, 2, 4, 16)
-BANDS = 6
+#: Bands of windows of the largest scale, and of the smaller ones.
+BANDS, SMALL_BANDS = 6, 1
 #: Templates that share this part of the smaller one's shingles are rivals.
 RIVAL_SHARE = 0.5
 BLOCK_SHINGLES = 20_000
@@ -191,6 +194,10 @@ def _least(window, seed: int):
     return F.array_min(F.transform(window, lambda s: s.bitwiseXOR(F.lit(seed))))
 
 
+def _bands_of(window: int, scales: Sequence[int], bands: int) -> list[int]:
+    return _seeds(bands if window == max(scales) else SMALL_BANDS)
+
+
 def _longs(values):
     return F.from_json(F.lit(str(list(values))), "array<long>")
 
@@ -226,7 +233,8 @@ class Index:
                 self.rivals[a].append(b)
         #: For each block of templates: its first number, its end, and by window size the templates of each band value.
         self.blocks: list[tuple[int, int, dict[int, dict[int, set[int]]]]] = []
-        seeds, first, held = _seeds(bands), 0, 0
+        self.scales, self.bands = scales, bands
+        first, held = 0, 0
         for number, name in enumerate(self.names):
             if held and held + size[number] > block:
                 first, held = number, 0
@@ -238,7 +246,7 @@ class Index:
             window = scale_of(len(own), scales)
             table = tables.setdefault(window, {})
             for at in range(len(own) - window + 1):
-                for seed in seeds if window > 1 else seeds[:1]:
+                for seed in _bands_of(window, scales, bands):
                     table.setdefault(min(s ^ seed for s in own[at : at + window]), set()).add(number)
             self.blocks[-1] = (start, number + 1, tables)
 
@@ -258,14 +266,14 @@ def scan(
     if index is None or not index.names:
         found = F.array().cast(schema)
     else:
-        found = let(word_list(F.col("text")), lambda w: let(shingles(w), _matches(index, containment, bands)))
+        found = let(word_list(F.col("text")), lambda w: let(shingles(w), _matches(index, containment)))
     # The condition always holds; it keeps the optimizer from repeating the scan in a filter on its result.
     once = F.when(F.monotonically_increasing_id() >= 0, found)
     rows = docs.select("doc_id", once.alias("found")).select("doc_id", F.explode("found").alias("m"))
     return rows.select("doc_id", "m.license", "m.n_shared", "m.n_template", "m.first_word")
 
 
-def _matches(index: Index, containment: float, bands: int):
+def _matches(index: Index, containment: float):
     """From the shingles of a text: the templates that share a band value with it and pass the exact check."""
 
     def retrieve(values, table: dict[int, set[int]]):
@@ -276,11 +284,14 @@ def _matches(index: Index, containment: float, bands: int):
 
     def window_values(sh, window: int):
         """Band values of the windows of a text."""
-        if window == 1:
-            return F.transform(sh, lambda s: s.bitwiseXOR(F.lit(_seeds(1)[0])))
-        starts = F.sequence(F.lit(0), F.greatest(F.size(sh) - window, F.lit(0)), F.lit(window // 2))
+        seeds = _bands_of(window, index.scales, index.bands)
+        starts = F.sequence(F.lit(0), F.greatest(F.size(sh) - window, F.lit(0)), F.lit(max(1, window // 2)))
+        if len(seeds) == 1:
+            (seed,) = seeds
+            own = lambda i: [F.get(sh, i + n).bitwiseXOR(F.lit(seed)) for n in range(window)]
+            return F.transform(starts, lambda i: F.least(*own(i)) if window > 1 else own(i)[0])
         cut = F.transform(starts, lambda s: F.slice(sh, s + 1, window))
-        return F.flatten(F.transform(cut, lambda w: F.array(*[_least(w, seed) for seed in _seeds(bands)])))
+        return F.flatten(F.transform(cut, lambda w: F.array(*[_least(w, seed) for seed in seeds])))
 
     def verified(sh, number, first: int, sets, names):
         return let(
