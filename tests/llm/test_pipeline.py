@@ -44,3 +44,32 @@ def test_run_on_an_odd_table(spark, docs_of, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in out]
     assert not {50, 51, 52} & set(ids) and None in ids and len(ids) == len(set(ids))
+
+
+#: Names that the stages use inside, for columns that a table may have as well.
+INTERNAL = (
+    "_version version v row rows spans base found fp fingerprint component_id least least_id count d k s r a b c p x y t o u m n "
+    "node root key id words word anchors passage anchor windows kept wanted places place pattern surface kind kinds end at "
+    "patterns confidence size weight as_kind more best two wider added block blocks bin bins item item_id island own guest "
+    "filled typical squares length piece start sequence_id offset ids ids_crc32 lang_pred held_out score known share label "
+    "letters distance passages error budget part seq file shard slot total earlier rank old new keep stay loose"
+).split()
+
+
+def test_every_stage_keeps_columns_of_any_name(spark, docs_of, tmp_path):
+    words = "the house and the garden were in the town with all of that".split()
+    rows = [(i, " ".join(words[i % 7 :] + [f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)])) for i in range(12)]
+    rows += [(3, rows[3][1]), (3, rows[3][1]), (None, "the house and some other garden in that town"), (20, f"call a{1}@b.de now, the house and the garden were in the town")]
+    docs = docs_of(rows).selectExpr("*", *[f"concat('{name}', doc_id) as `{name}`" for name in INTERNAL])
+    spark.createDataFrame([(1, "a passage that no text of these here holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        if name == corpus_pipeline.STAGES[-1][0]:
+            break
+        assert out.columns == docs.columns
+        docs = spark.read.parquet(path)
+        for r in docs.collect():
+            assert r.doc_id is None or all(r[n] == f"{n}{r.doc_id}" for n in INTERNAL)
+    assert {r.doc_id for r in spark.read.parquet(path).collect()} == {r[0] for r in rows}
