@@ -85,3 +85,22 @@ def test_odd_documents(odd_docs, docs_of, spark, tmp_path):
     assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
     token_orc.write_tokens(docs_of([]), str(tmp_path / "none"), token_orc.tokenizer_path(), 2)
     assert token_orc.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_look_up_by_document_skips_strides_and_files(spark, docs_of, tmp_path):
+    docs = docs_of([(i, f"words of {i}") for i in range(20_000)])
+    token_orc.write_tokens(docs, str(tmp_path / "ids"), token_orc.tokenizer_path(), 2)
+    near = spark.read.schema(token_orc.SCHEMA).orc(str(tmp_path / "ids")).where("doc_id = 12345").select("n_tokens")
+    assert len(near.collect()) == 1
+
+    def scanned(node):
+        name = node.getClass().getSimpleName()
+        if name == "FileSourceScanExec":
+            return node.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlanExec":
+            return scanned(node.executedPlan())
+        children = node.children()
+        return sum(scanned(children.apply(i)) for i in range(children.size()))
+
+    # One stride of the one file that holds the document; the other files' statistics rule them out.
+    assert 0 < scanned(near._jdf.queryExecution().executedPlan()) <= 2_000
