@@ -219,10 +219,11 @@ c as (select range as bucket, coalesce(s, 0) as s, coalesce(t, 0) as t from rang
     ) as n on n.bucket = range),
 g as (select bucket, cast(floor({SCALE} * ln(((t + 1)::double * ((sum(s) over ()) + {BUCKETS})::double)
     / ((s + 1)::double * ((sum(t) over ()) + {BUCKETS})::double))) as bigint) as gain from c),
-d as (select w.id, w.r, len(words) as n_words, count(gain) as n_features,
+sizes as (select id, r, len(words) as n_words from w where side = 'd'),
+d as (select w.id, w.r, n_words, count(gain) as n_features,
     case when count(gain) = 0 then 0 else cast((sum(gain) - ((sum(gain) % count(gain)) + count(gain)) % count(gain))
     // count(gain) as bigint) end as weight
-    from w left join b on b.r = w.r left join g using (bucket) where w.side = 'd' group by w.id, w.r, n_words),
+    from sizes w left join b on b.r = w.r left join g using (bucket) group by w.id, w.r, n_words),
 u as (select *, (('0x' || sha256('{SEED}:' || coalesce(id::varchar, ''))[:8])::bigint + 0.5) / 4294967296 as u from d),
 x as (select *, weight + cast(floor(-{SCALE} * ln(-ln(u::double))) as bigint) as score from u),
 k as (select *, row_number() over (order by n_words < {LEAST_WORDS}, score desc, id nulls last, r) as k,
