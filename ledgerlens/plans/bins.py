@@ -57,6 +57,8 @@ def items(
     group's `mean`, `m2` and `m3` (the bin's part of the sums of squares and cubes about it) and the caller's
     `totals` (aggregates over df that are sums); all of these are NULL in rows of values. The values of `distinct`
     are gathered by the first scan too, and every item has their number as `distinct_values`.
+
+    `by` is for category columns: what is broadcast has a few rows per quantile, fence and category.
     """
     x = F.col(value).cast("double")
     rows = df.withColumns({"_x": x, "_bin": bin_of(x)})
