@@ -10,7 +10,7 @@ that part). The place of a document in the whole corpus is `begin` plus the ids
 one number per part is needed for that.
 
 Edge cases. A null or empty text has the end id alone. Rows without doc_id come first. Repeated rows and
-rows with equal doc_id each keep a row, ordered by the hash of their text. Extra columns are not written. An
+rows with equal doc_id each keep a row, ordered by the hash of their text, and may lie in several partitions. Extra columns are not written. An
 empty table gives no rows."""
 
 from __future__ import annotations
@@ -71,8 +71,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 )
                 begin += int(ends[-1])
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("version")]
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
+    # The number tells equal rows apart, so that no partition has to take all of them.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("version"), F.col("number")]
+    number = F.monotonically_increasing_id().alias("number")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"), number)
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return placed.select("doc_id", "text").mapInArrow(encode, SCHEMA)
 

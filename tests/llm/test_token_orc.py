@@ -104,3 +104,16 @@ def test_a_look_up_by_document_skips_strides_and_files(spark, docs_of, tmp_path)
 
     # One stride of the one file that holds the document; the other files' statistics rule them out.
     assert 0 < scanned(near._jdf.queryExecution().executedPlan()) <= 2_000
+
+
+def test_equal_rows_are_spread(spark, docs_of, tmp_path):
+    docs = docs_of([(7, "the same text")] * 3_000 + [(i, f"text {i}") for i in range(5)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_orc.write_tokens(docs, str(tmp_path / "ids"), token_orc.tokenizer_path(), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r["count"] for r in spark.read.orc(str(tmp_path / "ids")).groupBy("part").count().collect()]
+    assert len(parts) > 2 and max(parts) < 0.6 * 3_005
+    rows = token_orc.read_tokens(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert all(b.start == a.start + a.n_tokens and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:]))
