@@ -59,6 +59,8 @@ SLOT_TOKENS = 6
 BLOCK_CHARS = 2_000_000
 #: Longer words and identifiers go by a digest in the graph; texts are not cut.
 _SHOWN = 64
+_NEEDLES = 200
+_ROWS_AT_ONCE = 500
 
 
 def luhn(digits: str) -> bool:
@@ -212,11 +214,25 @@ class Slots:
             else:
                 first, last = p.split(" _ ")
                 self.both.setdefault(first, set()).add(last)
+        #: The longest word of each pattern; a text without any of them has no slot. Not used where there are many, or
+        #: where a word may not stand in the lower-case text as it is: a digest, or one with a sigma, whose lower
+        #: case depends on what follows.
+        self.needles = sorted({max((w for w in p.split() if w != "_"), key=len) for p in patterns})
+        plain = all(len(n) < 32 and not set(n) & {"σ", "ς"} for n in self.needles)
+        self.needles = self.needles if plain and len(self.needles) <= _NEEDLES else None
+
+    def may_find(self, text: str) -> bool:
+        if self.needles is None:
+            return True
+        low = text.lower()
+        return any(n in low for n in self.needles)
 
     def find(self, text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str]]:
         """(start, end, pattern, surface) of what stands in a slot and is no instance yet: off base spans, and not
         a single token with a digit or an at sign."""
         text = text or ""
+        if not self.may_find(text):
+            return []
         tokens = [(m.start(), m.end(), w) for m in _WORD.finditer(text) if (w := _plain(m[0]))]
         plain = ["", "", *[w for *_, w in tokens], "", ""]
         out: list[tuple[int, int, str, str]] = []
@@ -245,9 +261,16 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _FOUND = "array<struct<start:int,end:int,kind:int,surface:string,patterns:array<string>>>"
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Some rows at a time, which bounds what a worker holds beside the texts."""
+    for batch in batches:
+        for at in range(0, len(batch), _ROWS_AT_ONCE):
+            yield batch.iloc[at : at + _ROWS_AT_ONCE].reset_index(drop=True)
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             base = [base_spans(t) for t in batch["text"]]
             found = [instances(t, b) for t, b in zip(batch["text"], base)]
             yield pd.DataFrame(
@@ -301,11 +324,11 @@ def slots_of(docs: DataFrame, patterns: DataFrame, block_chars: int = BLOCK_CHAR
 
         def found(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             slots = Slots(sent.value)
-            for batch in batches:
+            for batch in _slices(batches):
                 hits = [
                     (doc_id, version, *hit)
                     for doc_id, text, version in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["version"])
-                    for hit in slots.find(text, base_spans(text))
+                    for hit in (slots.find(text, base_spans(text)) if slots.may_find(text or "") else ())
                 ]
                 yield pd.DataFrame(hits, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 

@@ -124,6 +124,18 @@ def test_words_around_a_place_are_whole():
         assert pii._words_after(text, at, 2) == named(text[at:])[:2]
 
 
+def test_texts_passed_over_hold_no_slot():
+    rng = random.Random(12)
+    words = ["Write", "to", "Σας", "ΣΑΣ", "for", "K", "me,", "(call)", "x" * 70, "at"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))
+        patterns = [p for _ in range(2) for p in pii._patterns([pii._plain(rng.choice(words)) for _ in range(2)], [pii._plain(rng.choice(words)) for _ in range(2)])]
+        slots = pii.Slots(rng.sample(patterns, rng.randint(1, 4)))
+        found = slots.find(text, [])
+        slots.needles = None
+        assert slots.find(text, []) == found
+
+
 def brute_patterns(edges, rounds, confidence, min_seeds):
     size, scored, out = {}, {}, {}
     for p, x, _ in edges:
