@@ -1,7 +1,6 @@
 """Bins, moments and fences against numpy and against plain windows."""
 
 import random
-import re
 
 import numpy as np
 import pytest
@@ -104,17 +103,6 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def final_plan(df):
-    df.collect()
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def scans(df) -> int:
-    """Scans of the plan that ran, with those of its subqueries; what is reused is not counted again."""
-    plan = final_plan(df).split("== Initial Plan ==")[0]
-    return len(re.findall(r"FileScan parquet", plan)) if "FileScan" in plan else 0
-
-
 @pytest.mark.parametrize(
     ("name", "most"),
     [
