@@ -61,12 +61,17 @@ def _with_bucket(items: DataFrame, order: Sequence[str]) -> DataFrame:
     splits = sample.select(F.filter("keys", lambda _, i: i % stride == stride - 1)).scalar()
 
     # Binary search in steps of falling powers of two; an index past the end reads NULL,
-    # which is not below anything. A projection per step keeps it in generated code.
-    found = items.withColumns({"_splits": splits, "_key": key, "_bucket": F.lit(0)})
-    for bit in reversed(range((4 * buckets).bit_length())):
-        at = F.col("_bucket")
-        beyond = F.get(F.col("_splits"), at + (2**bit - 1)) < F.col("_key")
-        found = found.withColumn("_bucket", F.when(beyond, at + 2**bit).otherwise(at))
+    # which is not below anything. One fold names each column once: with a projection per step,
+    # the optimizer puts every step into the next one three times over when it follows `_bucket`
+    # down the plan, and the plan outgrows the driver as the slices grow in number.
+    found = items.withColumns({"_splits": splits, "_key": key})
+
+    def step(at: Column, size: Column) -> Column:
+        beyond = F.get(F.col("_splits"), at + size - 1) < F.col("_key")
+        return F.when(beyond, at + size).otherwise(at)
+
+    sizes = F.array(*[F.lit(2**bit) for bit in reversed(range((4 * buckets).bit_length()))])
+    found = found.withColumn("_bucket", F.aggregate(sizes, F.lit(0), step))
     return found.drop("_splits", "_key")
 
 

@@ -168,3 +168,17 @@ def test_slices_are_even_despite_ties(skewed):
     sizes = ordering._with_bucket(skewed.select("v", "id"), ["v", "id"]).groupBy("_bucket").count().collect()
     assert len(sizes) >= buckets
     assert max(r["count"] for r in sizes) <= 4 * 3000 / buckets
+
+
+def test_the_bucket_search_stays_small_when_the_optimizer_follows_it(spark):
+    df = spark.range(40).withColumn("v", F.col("id") % 7)
+    size, before = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (4, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            found = ordering._with_bucket(df, ["v", "id"]).filter("_bucket >= 1")
+            size[partitions] = len(found._jdf.queryExecution().optimizedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # A name for each step, replaced by its definition, would triple the condition with every doubling of the slices.
+    assert size[32] < 1.3 * size[4]
