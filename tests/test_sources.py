@@ -2,6 +2,7 @@ import datetime as dt
 import decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.sources import ledger as tables
@@ -102,3 +103,21 @@ def test_storing_one_month_leaves_the_others(spark, tmp_path, ledger_of):
 def test_quartile_model_is_a_view(spark, ledger_of, accounts_of):
     tables.register_views(ledger_of({}), accounts_of((1, "SME", "Active", "Web")))
     assert spark.sql("select rfm_segment, count(*) as n from customer_rfm group by 1").first().n == 1
+
+
+ODD_TEXTS = (
+    "", "1", "-1", "+1", "1.5", "1.", ".", ".5", "1e5", "1E-5", "1d", "1.5F", "nan", "NaN", "inf", "-Infinity", "0x1p3", "0X1.8P-2", "0x1",
+    "1_000", "1,000", "2024", "20245", "2024567", "2024-1", "2024-01-", "2024-1-5", "2024-01-05 10:20", "2024-01-05T10:20:30.123456",
+    "2024-01-05T10:20:30Z", "2024-01-05\t", "2024-01-05x", "2024-13-45", "12:30", "T12:30", "-2024-01-01", "+20240-01-01", "\x7f2024-01-05",
+    "9223372036854775808", "1e400", "abc", "1 2", "\u0661\u0662", " 1 ", "\t1.5\t", "1\n", "\x001", "1\x7f", "1\u0085", "--1", "e5", "Nation 7",
+)
+
+
+def test_only_texts_that_look_like_a_type_are_cast_to_it(spark):
+    texts = spark.createDataFrame([(t,) for t in ODD_TEXTS], "t string")
+    row = tables.type_counts(texts).first()
+    for kind in tables.INFERRED:
+        read = F.trim("t").try_cast(kind).isNotNull() & ~F.trim("t").startswith("+")
+        assert row[f"not_{kind.typeName()}"] == texts.filter(~read).count()
+    plan = tables.type_counts(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == len(tables.INFERRED)  # a cast that fails throws inside, which took most of the time
