@@ -40,6 +40,8 @@ PATIENCE = 40
 #: Bins that are as full as this part of their parent's bins are taken over whole.
 INJECTED = 0.8
 WELL_FILLED = 0.995
+#: Texts that a worker holds as strings; an Arrow batch may hold many more.
+_ROWS_AT_ONCE = 500
 
 Bins = list[list[int]]
 
@@ -47,20 +49,25 @@ Bins = list[list[int]]
 def split_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's pieces of at most `capacity` ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches) -> Iterator:
+        import pyarrow as pa
+
         encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                raw = encode(text) + end
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    own = raw[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS_AT_ONCE):
+                batch = whole.slice(first, _ROWS_AT_ONCE)
+                out = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    raw = encode(text) + end
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        own = raw[at : at + 4 * capacity]
+                        out.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
 def best_fit(sizes: list[int], items: list[int], capacity: int, bins: Bins | None = None) -> Bins:

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 #: Pieces and words that a worker keeps. A full store takes no more, which costs time only; the frequent
 #: words are in it by then. Longer entries are not kept.
-KEEP_ENTRIES = 900_000
+KEEP_ENTRIES = 300_000
 KEEP_LENGTH = 48
 
 _IDS = [struct.Struct(f"<{n}I") for n in range(32)]

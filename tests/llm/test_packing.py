@@ -81,3 +81,18 @@ def test_odd_documents(odd_docs, docs_of):
     assert sorted(r.length for r in rows if r.doc_id in (1, 2, 3)) == [1, 1, 1]
     assert len([r for r in rows if r.doc_id == 4]) == 2 and len([r for r in rows if r.doc_id is None]) == 1
     assert packing.pack(docs_of([]), token_orc.tokenizer_path()).count() == 0
+
+
+def test_cutting_holds_few_texts_at_a_time(spark, docs_of, monkeypatch):
+    """A worker turns some rows of a batch into strings at a time, whatever the batch holds."""
+    monkeypatch.setattr(packing, "_ROWS_AT_ONCE", 3)
+    docs = docs_of([(None if i == 4 else i, None if i % 5 == 0 else "some words " * i) for i in range(17)]).coalesce(1)
+    cut = packing.split_documents(docs, token_orc.tokenizer_path(), capacity=8)
+    assert "MapInArrow" in cut._jdf.queryExecution().executedPlan().toString()
+    rows = cut.collect()
+    assert {r.doc_id for r in rows if r.piece == 0} == {None, *range(17)} - {4} and sum(r.piece == 0 for r in rows) == 17
+    ends = {}
+    for r in rows:
+        assert r.start == ends.get(r.doc_id, 0) and 0 < r.length <= 8
+        ends[r.doc_id] = r.start + r.length
+    assert all(ends[i] == 1 for i in (0, 5, 10, 15)) and ends[16] > 16
