@@ -71,7 +71,8 @@ def _with_bucket(items: DataFrame, order: Sequence[str]) -> DataFrame:
         return F.when(beyond, at + size).otherwise(at)
 
     sizes = F.array(*[F.lit(2**bit) for bit in reversed(range((4 * buckets).bit_length()))])
-    found = found.withColumn("_bucket", F.aggregate(sizes, F.lit(0), step))
+    # Never NULL, and said so: else joins on it push a test for NULL below the shuffle, which is then not shared.
+    found = found.withColumn("_bucket", F.coalesce(F.aggregate(sizes, F.lit(0), step), F.lit(0)))
     return found.drop("_splits", "_key")
 
 
